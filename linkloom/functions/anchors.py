@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import or_empty, strip_space, title_case
+from linkloom.functions.text import null_if_empty, or_empty, strip_space, title_case
 
 # Anchor kinds, phrases that say nothing about their target, default texts.
 ANCHOR_TYPES = ["exact", "partial", "contextual", "generic"]
@@ -29,17 +29,15 @@ SELECTOR_BUCKETS = 10_000
 
 def label_from_path(path: Column) -> Column:
     """Readable name of a path: its last piece (the one before it for ``_meta``), title-cased."""
-    pieces = F.split(F.regexp_replace(or_empty(path), r"/$", ""), "/", -1)
-    last = F.element_at(pieces, -1)
-    slug = F.when(last == "_meta", F.coalesce(F.try_element_at(pieces, F.lit(-2)), F.lit(NO_LABEL))).otherwise(last)
-    return title_case(F.translate(slug, "-_", "  "))
+    whole = F.regexp_replace(F.regexp_replace(or_empty(path), r"/\z", ""), r"^_meta\z", NO_LABEL)
+    piece = F.regexp_replace(F.regexp_replace(whole, r"/_meta\z", ""), r"(?s)^.*/", "")
+    return title_case(F.translate(piece, "-_", "  "))
 
 
 def coalesce_anchor_text(anchor: Column, alt: Column, target_path: Column) -> Column:
     """Anchor text, else the image's alternative text, else the target's label."""
-    text = strip_space(or_empty(anchor))
-    alternative = strip_space(or_empty(alt))
-    return F.when(text != "", text).when(alternative != "", alternative).otherwise(label_from_path(target_path))
+    text, alternative = strip_space(anchor), strip_space(alt)
+    return F.coalesce(null_if_empty(text), null_if_empty(alternative), label_from_path(target_path))
 
 
 def anchor_lexical_normal(anchor: Column) -> Column:

@@ -5,27 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import MAX_TEXT, null_if_empty, or_empty, strip_space
+from linkloom.functions.text import null_if_empty, or_empty, strip_space
 
 ROOT = "/"
 
 
-# Host, then everything up to a query, fragment or the end.
-_HTTP_URL = r"(?i)^https?://([^/:?#]+)([^?#]*)"
+# Host without "www.", then everything up to a query, a fragment or the end.
+_HTTP_URL = r"(?i)^https?://(?=[^/:?#])(?:www\.)?+([^/:?#]*)([^?#]*)"
 
 
 def url_host(url: Column) -> Column:
     """Lower-cased host without ``www.``; null unless the URL is http(s)."""
-    host = F.lower(F.regexp_extract(strip_space(or_empty(url)), _HTTP_URL, 1))
-    return F.when(host.startswith("www."), F.substring(host, 5, MAX_TEXT)).when(host != "", host)
+    hosts = F.regexp_extract_all(strip_space(url), F.lit(_HTTP_URL), F.lit(1))
+    return F.lower(F.try_element_at(hosts, F.lit(1)))
 
 
 def url_path(url: Column) -> Column:
-    """Everything after the host (a port stays in), never null, ``/`` when empty."""
+    """Everything after the host (a port stays in), never null, ``/`` when empty.
+
+    A non-empty rest starts with ``/`` or ``:``, so the larger of it and ``/`` is the path.
+    """
     tail = F.regexp_extract(strip_space(or_empty(url)), _HTTP_URL, 2)
     single = F.when(tail.contains("//"), F.regexp_replace(tail, r"/{2,}", "/")).otherwise(tail)
-    tidy = F.rtrim(single, F.lit(ROOT))
-    return F.when(tidy == "", F.lit(ROOT)).otherwise(tidy)
+    return F.greatest(F.rtrim(single, F.lit(ROOT)), F.lit(ROOT))
 
 
 def _pieces(path: Column) -> Column:

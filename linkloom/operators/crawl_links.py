@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.anchors import (
+    anchor_lexical_normal,
     anchor_token_count,
+    classify_anchor,
     coalesce_anchor_text,
-    infer_anchor_type,
+    label_from_path,
 )
 from linkloom.functions.links import block_rule_weight, normalize_block_type, parse_boolean
 from linkloom.functions.text import or_empty, strip_space
@@ -146,7 +148,9 @@ def link_edges_topk(edges: DataFrame, max_out_links_per_page: int = 120) -> Data
 def anchor_text_counts(identified: DataFrame) -> DataFrame:
     """Uses of each anchor text per edge and anchor kind. All links of one edge weigh the same."""
     return (
-        identified.withColumn("anchor_type", infer_anchor_type(F.col("anchor_text"), F.col("to_path")))
+        identified.withColumn("_anchor", anchor_lexical_normal(F.col("anchor_text")))
+        .withColumn("_label", anchor_lexical_normal(label_from_path(F.col("to_path"))))
+        .withColumn("anchor_type", classify_anchor(F.col("_anchor"), F.col("_label")))
         .groupBy("source_id", "target_id", "block_type", "anchor_type", "anchor_text")
         .agg(F.sum("instances").alias("anchor_instances"), F.max("base_weight").alias("rule_weight"))
         .withColumn("anchor_token_count", anchor_token_count(F.col("anchor_text")))
