@@ -15,7 +15,10 @@ MAX_TEXT = 2**31 - 1
 
 
 def strip_space(text: Column) -> Column:
-    return F.trim(text, F.lit(WHITE_SPACE))
+    """Drop white space at both ends. Most texts have none, so the ends are looked at first."""
+    spaces = list(WHITE_SPACE)
+    needed = F.substring(text, 1, 1).isin(spaces) | F.substring(text, -1, 1).isin(spaces)
+    return F.when(needed, F.trim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
 def or_empty(text: Column) -> Column:

@@ -47,7 +47,7 @@ def write_crawl_csv(links: DataFrame, path: str) -> None:
 
 def tree_json_scan(spark: SparkSession, path: str) -> DataFrame:
     """(tree_id, tree): one parsed JSON document per file."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     return files.select(F.input_file_name().alias("tree_id"), F.parse_json("value").alias("tree"))
 
 
