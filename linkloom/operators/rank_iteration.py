@@ -9,9 +9,12 @@ amount to every page. The rank vector is therefore the solution of ``x = 1 + d *
 no global number: one join of the transitions with the current vector, both
 hash-partitioned by ``graph, page`` so that nothing moves, and one map-side combined sum
 per target, so that a page with very many in-links costs one row per task. A run of steps
-is one Spark job; between runs the vector is checkpointed, its change measured and its
-overall level corrected so that inflow and outflow balance, which removes the slow
-component dead ends would leave behind. Only these few sums per graph reach the driver.
+is one Spark job; after it the last three vectors are checkpointed, the change is measured
+and the slowest component is taken out: its ratio from step to step is the quotient of the
+last two changes, and the geometric series it stands for is summed at once (reduced-rank
+extrapolation of order one). Sites where listings and items only link to each other would
+otherwise converge no faster than the damping. Only these few sums per graph reach the
+driver.
 
 A source that owns a large part of all links would make one partition of the transitions
 large. Such sources (there can be only ``links / split_links`` of them) are kept apart:
@@ -83,27 +86,42 @@ def _step(layout: list[tuple[DataFrame, DataFrame | None]], vector: DataFrame, d
     return flows.groupBy("graph", "target").agg((F.sum(flow) * F.lit(damping)).alias("linked"))
 
 
-def _level_and_change(after: DataFrame, before: DataFrame, inflow: dict[str, float], node_count: int):
-    """Per graph: level correction, and the relative change of the last step."""
-    both = (
-        after.select("graph", "target", F.col("linked").alias("a"), F.lit(0.0).alias("b"))
-        .unionByName(before.select("graph", "target", F.lit(0.0).alias("a"), F.col("linked").alias("b")))
+def _ratios_and_change(
+    first: DataFrame, second: DataFrame, third: DataFrame, node_count: int, limit: float
+) -> tuple[dict[str, float], float]:
+    """Per graph: ratio of the last two changes; over all graphs: relative size of the last one."""
+
+    def part(df: DataFrame, column: str) -> DataFrame:
+        return df.select(
+            "graph", "target", *[(F.col("linked") if c == column else F.lit(0.0)).alias(c) for c in ("a", "b", "c")]
+        )
+
+    before, after = F.col("b") - F.col("a"), F.col("c") - F.col("b")
+    sums = (
+        part(first, "a").unionByName(part(second, "b")).unionByName(part(third, "c"))
         .groupBy("graph", "target")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        .agg(*[F.sum(c).alias(c) for c in ("a", "b", "c")])
         .groupBy("graph")
-        .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.abs(F.col("a") - F.col("b"))).alias("moved"))
+        .agg(
+            F.sum(after * before).alias("cross"),
+            F.sum(before * before).alias("square"),
+            F.sum(F.abs(after)).alias("moved"),
+            F.sum("c").alias("total"),
+        )
         .collect()
     )
-    levels = {row["graph"]: inflow[row["graph"]] / (row["b"] - row["a"] + inflow[row["graph"]]) for row in both}
-    change = max(row["moved"] / (node_count + row["a"]) for row in both)
-    return levels, change
+    ratios = {r["graph"]: max(-limit, min(limit, r["cross"] / r["square"])) if r["square"] > 0 else 0.0 for r in sums}
+    return ratios, max(r["moved"] / (node_count + r["total"]) for r in sums)
 
 
-def _scaled(vector: DataFrame, levels: dict[str, float]) -> DataFrame:
-    level = F.lit(1.0)
-    for graph, value in levels.items():
-        level = F.when(F.col("graph") == graph, F.lit(value)).otherwise(level)
-    return vector.select("graph", "target", (F.col("linked") * level).alias("linked"))
+def _extrapolated(second: DataFrame, third: DataFrame, ratios: dict[str, float]) -> DataFrame:
+    factor = F.lit(0.0)
+    for graph, ratio in ratios.items():
+        factor = F.when(F.col("graph") == graph, F.lit(ratio / (1.0 - ratio))).otherwise(factor)
+    weighted = third.select("graph", "target", (F.col("linked") * (F.lit(1.0) + factor)).alias("linked")).unionByName(
+        second.select("graph", "target", (F.col("linked") * -factor).alias("linked"))
+    )
+    return weighted.groupBy("graph", "target").agg(F.sum("linked").alias("linked"))
 
 
 def rank_graphs(
@@ -118,16 +136,9 @@ def rank_graphs(
     everywhere = nodes.select("page_id", F.explode(F.array(*[F.lit(g) for g in graphs])).alias("graph"))
     transitions = transition_table(links).persist()
     try:
-        sources = {
-            row["graph"]: (row["links"], row["inflow"])
-            for row in transitions.groupBy("graph")
-            .agg(F.count(F.lit(1)).alias("links"), F.sum("share").alias("inflow"))
-            .collect()
-        }
-        if node_count == 0 or not sources:
+        link_count = transitions.count()
+        if node_count == 0 or link_count == 0:
             return everywhere.select("graph", "page_id", F.lit(1.0 / max(node_count, 1)).alias("score"))
-        link_count = sum(links for links, _ in sources.values())
-        inflow = {graph: options.damping * total for graph, (_, total) in sources.items()}
         partitions = min(options.max_partitions, max(1, math.ceil(link_count / options.links_per_partition)))
         # The layout is fixed by hand here, so the loop neither re-plans nor broadcasts on its own.
         settings = {
@@ -136,7 +147,7 @@ def rank_graphs(
             "spark.sql.autoBroadcastJoinThreshold": "-1",
         }
         with sql_settings(spark, settings):
-            vector = _iterate(_split_hot(transitions, link_count, partitions, options), inflow, node_count, options)
+            vector = _iterate(_split_hot(transitions, link_count, partitions, options), node_count, options)
     finally:
         transitions.unpersist()
     relative = F.coalesce(F.col("linked"), F.lit(0.0)) + 1.0
@@ -153,7 +164,7 @@ def rank_graphs(
     )
 
 
-def _iterate(layout, inflow: dict[str, float], node_count: int, options: RankOptions) -> DataFrame:
+def _iterate(layout: list[tuple[DataFrame, DataFrame | None]], node_count: int, options: RankOptions) -> DataFrame:
     # Uniform start: every page holds 1 / (1 - d).
     start = options.damping / (1.0 - options.damping)
     vector = None
@@ -164,15 +175,16 @@ def _iterate(layout, inflow: dict[str, float], node_count: int, options: RankOpt
     done = 1
     try:
         while True:
-            for _ in range(options.steps_per_check - 1):
+            for _ in range(options.steps_per_check - 2):
                 vector = _step(layout, vector, options.damping)
-            before = cut_lineage(vector)
-            vector = cut_lineage(_step(layout, before, options.damping))
+            first = cut_lineage(vector)
+            second = cut_lineage(_step(layout, first, options.damping))
+            third = cut_lineage(_step(layout, second, options.damping))
             done += options.steps_per_check
-            levels, change = _level_and_change(vector, before, inflow, node_count)
+            ratios, change = _ratios_and_change(first, second, third, node_count, options.damping)
             if change < options.tolerance or done >= options.max_iterations:
-                return vector
-            vector = _scaled(vector, levels)
+                return third
+            vector = _extrapolated(second, third, ratios)
     finally:
         for transitions, _ in layout:
             transitions.unpersist()

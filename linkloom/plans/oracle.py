@@ -221,7 +221,7 @@ cte("ppg", f"SELECT *, {inputs.TEMPLATE_OF_PAGE} AS template FROM pg", "pg")
 def add_rank(prefix: str, links: str, *needs: str) -> None:
     """CTEs ``<prefix>_rank(graph, page_id, score)`` from links(graph, source, target, weight)."""
     d = RANK.damping
-    w, n = f"{prefix}_w", f"{prefix}_n"
+    w = f"{prefix}_w"
     cte(f"{prefix}_m", f"SELECT graph, source, target, sum(weight) AS weight FROM ({links}) GROUP BY ALL", *needs)
     cte(
         w,
@@ -229,42 +229,45 @@ def add_rank(prefix: str, links: str, *needs: str) -> None:
   JOIN (SELECT graph, source, sum(weight) AS total FROM {prefix}_m GROUP BY ALL) USING (graph, source) WHERE total > 0""",
         f"{prefix}_m",
     )
-    cte(n, f"SELECT graph, {d!r}::DOUBLE * sum(share) AS inflow FROM {w} GROUP BY ALL", w)
-    current = f"{prefix}_v1"
-    cte(current, f"SELECT graph, target, sum(share) * {d / (1 - d)!r}::DOUBLE AS linked FROM {w} GROUP BY ALL", w)
+    last = [f"{prefix}_v1"]
+    cte(last[0], f"SELECT graph, target, sum(share) * {d / (1 - d)!r}::DOUBLE AS linked FROM {w} GROUP BY ALL", w)
     done = 1
     while done < RANK.max_iterations:
-        before = current
         for _ in range(RANK.steps_per_check):
             done += 1
-            before, current = current, f"{prefix}_v{done}"
+            name = f"{prefix}_v{done}"
             cte(
-                current,
+                name,
                 f"""SELECT w.graph, w.target, sum(share * (coalesce(linked, 0) + 1)) * {d!r}::DOUBLE AS linked FROM {w} w
-  LEFT JOIN {before} v ON v.graph = w.graph AND v.target = w.source GROUP BY ALL""",
+  LEFT JOIN {last[-1]} v ON v.graph = w.graph AND v.target = w.source GROUP BY ALL""",
                 w,
-                before,
+                last[-1],
             )
+            last.append(name)
         if done < RANK.max_iterations:
-            scaled = f"{prefix}_s{done}"
+            first, second, third = last[-3:]
+            name = f"{prefix}_x{done}"
             cte(
-                scaled,
-                f"""SELECT a.graph, target, linked * (inflow / (b - s + inflow)) AS linked FROM {current} a
-  JOIN (SELECT graph, sum(linked) AS s FROM {current} GROUP BY 1) USING (graph)
-  JOIN (SELECT graph, sum(linked) AS b FROM {before} GROUP BY 1) USING (graph) JOIN {n} USING (graph)""",
-                current,
-                before,
-                n,
+                name,
+                f"""WITH j AS (SELECT graph, target, a.linked AS a, b.linked AS b, c.linked AS c FROM {first} a
+  JOIN {second} b USING (graph, target) JOIN {third} c USING (graph, target)),
+r AS (SELECT graph, coalesce(greatest({-d!r}::DOUBLE, least({d!r}::DOUBLE, sum((c - b) * (b - a)) / nullif(sum((b - a) * (b - a)), 0))), 0) AS q
+  FROM j GROUP BY 1)
+SELECT graph, target, c * (1 + q / (1 - q)) - b * (q / (1 - q)) AS linked FROM j JOIN r USING (graph)""",
+                first,
+                second,
+                third,
             )
-            current = scaled
+            last.append(name)
+    current = last[-1]
     cte(
         f"{prefix}_rank",
         f"""SELECT graph, page_id, round((coalesce(linked, 0) + 1) / ((total + n) / n), 9) / n AS score
-  FROM (SELECT graph, page_id FROM pg, {n}) LEFT JOIN (SELECT graph, target AS page_id, linked FROM {current}) USING (graph, page_id)
+  FROM (SELECT graph, page_id FROM pg, (SELECT DISTINCT graph FROM {w})) LEFT JOIN (SELECT graph, target AS page_id, linked FROM {current}) USING (graph, page_id)
   JOIN (SELECT graph, sum(linked) AS total FROM {current} GROUP BY 1) USING (graph),
   (SELECT CAST(count(*) AS DOUBLE) AS n FROM pg)""",
         "pg",
-        n,
+        w,
         current,
     )
 

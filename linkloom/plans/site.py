@@ -20,8 +20,9 @@ from linkloom.sources.crawl import tree_json_lines_scan
 from linkloom.sources.workspace import Workspace
 from linkloom.storage import new_folder
 
-# A fixed number of steps, so that the SQL form of a query does the same arithmetic.
-RANK = RankOptions(tolerance=0.0, max_iterations=25, steps_per_check=8)
+# A fixed number of steps, so that the SQL form of a query does the same arithmetic; the last
+# step changes the ranks of the given sites by less than 1e-10.
+RANK = RankOptions(tolerance=0.0, max_iterations=49, steps_per_check=8)
 SCORE = ScoreOptions(rank=RANK)
 EXPANSION = ex.ExpansionOptions()
 ALL_LISTINGS = ["/c/", "/ck/", "/ckl/", "/cl/", "/l/", "homepage"]
