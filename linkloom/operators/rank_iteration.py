@@ -18,7 +18,8 @@ driver.
 
 A source that owns a large part of all links would make one partition of the transitions
 large. Such sources (there can be only ``links / split_links`` of them) are kept apart:
-their links stay spread over all tasks and their current values are broadcast.
+their links stay spread over all tasks and their current values are broadcast, with a
+checkpoint after every step.
 """
 
 from __future__ import annotations
@@ -177,6 +178,8 @@ def _iterate(layout: list[tuple[DataFrame, DataFrame | None]], node_count: int,
         while True:
             for _ in range(options.steps_per_check - 2):
                 vector = _step(layout, vector, options.damping)
+                if len(layout) > 1:  # a step then reads the vector twice; chained, that would double per step
+                    vector = cut_lineage(vector)
             first = cut_lineage(vector)
             second = cut_lineage(_step(layout, first, options.damping))
             third = cut_lineage(_step(layout, second, options.damping))

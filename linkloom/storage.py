@@ -35,12 +35,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_and_read(df: DataFrame, path: str) -> DataFrame:
-    """Write a table once and go on from the files: typed, compressed, with size statistics."""
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 @contextmanager
 def sql_settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
     """Run eager work under temporary SQL settings."""
