@@ -68,10 +68,12 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return values
 
 
-def sampled(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Sampled suffixes of a chunk: names, classes, first string (lo), last string (hi), place.
+def sampled(data: np.ndarray, valid: np.ndarray, numbers: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Sampled suffixes of a chunk: names, classes, first string (lo), last string (hi), place, ends.
 
-    ``valid`` tells which places start a string of ``length`` bytes within one document.
+    ``valid`` tells which places start a string of ``length`` bytes within one document. ``ends`` are 16
+    bits each of the hashes of the third of ``length`` before the place and the two thirds from it on: two
+    suffixes without a common end have no common string.
     """
     names = gram_hashes(data)
     keys = (names & ~_LOW) | np.arange(len(names), dtype=np.uint64)
@@ -93,7 +95,15 @@ def sampled(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarra
     np.cumsum(_TABLES[1][data] * powers[: len(data)], out=sums[1:])
     classes = (sums[hi + length] - sums[lo]) * inverses[lo]
     classes ^= ((place - lo) * 128 + (hi - lo)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    return names[place], classes, lo, hi, place
+    before, after = length - 2 * length // 3, 2 * length // 3
+    ends = np.zeros(len(place), dtype=np.uint32)
+    for shift, first, stop in ((0, place - before, place), (16, place, place + after)):
+        inside = (first >= 0) & (stop <= len(data))
+        inside &= numbers[np.maximum(first, 0)] == numbers[np.minimum(stop, len(data)) - 1]
+        first, stop = np.where(inside, first, 0), np.where(inside, stop, 0)
+        hashed = np.where(inside, (sums[stop] - sums[first]) * inverses[first], place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        ends |= (hashed >> np.uint64(48)).astype(np.uint32) << np.uint32(shift)
+    return names[place], classes, lo, hi, place, ends.view(np.int32)
 
 
 def chunks(bodies: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -137,7 +147,7 @@ def _settle(frame: pd.DataFrame, key: list[str], state: str) -> pd.DataFrame:
 
 
 def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
-    """(name, class, doc, place, settled); place packs twin, lo, place - lo and hi - lo."""
+    """(name, class, doc, place, ends); place packs twin, lo, place - lo and hi - lo, and is ~place if settled."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -145,20 +155,21 @@ def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
             ids = batch["doc"].to_numpy(dtype=np.int64)
             twins = np.array([zlib.crc32(b) & 0xFFFF for b in bodies], dtype=np.int64)
             for data, valid, numbers, offsets in chunks(bodies, length):
-                names, classes, lo, hi, place = sampled(data, valid, length)
+                names, classes, lo, hi, place, ends = sampled(data, valid, numbers, length)
                 if not len(lo):
                     continue
                 number = numbers[lo]
                 packed = (twins[number] << 46) | ((lo + offsets[lo]) << 14) | ((place - lo) << 7) | (hi - lo)
                 frame = pd.DataFrame(
-                    {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed}
+                    {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed, "ends": ends}
                 )
                 frame = _settle(frame, ["name", "class"], "settled")
-                done = frame["settled"].to_numpy(dtype=bool)
+                done = frame.pop("settled").to_numpy(dtype=bool)
                 frame.loc[done, "name"] = frame.loc[done, "place"] * 0x9E3779B1 + frame.loc[done, "doc"]
+                frame.loc[done, "place"] = ~frame.loc[done, "place"]
                 yield frame
 
-    return docs.mapInPandas(scan, "name long, class long, doc long, place long, settled int")
+    return docs.mapInPandas(scan, "name long, class long, doc long, place long, ends int")
 
 
 def _twin(place: Column) -> Column:
@@ -169,10 +180,13 @@ def found_places(docs: DataFrame, length: int) -> DataFrame:
     """(doc, twin, places): repeated places negative, open ones as they are."""
     tuples = sample_tuples(docs, length)
     ranked = tuples.withColumn("rank", F.rank().over(Window.partitionBy("name", "class").orderBy("doc", "place")))
-    several = Window.partitionBy("name")
-    ranked = ranked.withColumn("several", (F.min("class").over(several) != F.max("class").over(several)))
-    repeated = (F.col("settled") == 1) | (F.col("rank") > 1)
-    kept = ranked.where(repeated | F.col("several")).select("doc", F.when(repeated, -F.col("place") - 1).otherwise(F.col("place")).alias("place"), _twin(F.col("place")).alias("twin"))
+    differ = lambda *columns: F.min("class").over(Window.partitionBy(*columns)) != F.max("class").over(Window.partitionBy(*columns))
+    repeated = (F.col("place") < 0) | (F.col("rank") > 1)
+    kept = ranked.withColumn("several", differ("name")).where(repeated | F.col("several"))
+    ends = kept.withColumns({"left": F.col("ends").bitwiseAND(F.lit(0xFFFF)), "right": F.shiftrightunsigned("ends", 16)})
+    common = ends.withColumn("common", differ("name", "left")).withColumn("common", F.col("common") | differ("name", "right"))
+    place = F.when(F.col("place") < 0, -F.col("place") - 1).otherwise(F.col("place"))
+    kept = common.where(repeated | F.col("common")).select("doc", F.when(repeated, -place - 1).otherwise(place).alias("place"), _twin(place).alias("twin"))
     return kept.groupBy("doc", "twin").agg(F.collect_list("place").alias("places"))
 
 
