@@ -10,7 +10,8 @@ equal strings hold their sample at equal places, and each string of ``length`` b
    whole reach), and its place. Tuples are sorted externally, by the disk-backed shuffle, by name, class
    and place. Within a class all but the first place repeat in full; a name with one class is settled.
 2. Induce. Names with several classes agree in part (ends of a shared passage, edited copies). Only
-   for the first place of such a class are the single strings named and sorted the same way.
+   for the first place of such a class its strings are compared with others': first, BAND neighbours at
+   a time, by the bytes that all of them hold; then, where those occur again, string by string.
 3. Documents take the places found and drop what they cover.
 
 Hashes are 128 bits in all (name and class, or a string's). Repeats within a batch are settled before
@@ -22,7 +23,7 @@ from __future__ import annotations
 import hashlib
 import random
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRAM = 32
+BAND = 8
 CHUNK = 1 << 20
 _LOW = np.uint64((1 << 21) - 1)
 _random = random.Random(20)
@@ -68,12 +70,10 @@ def gram_hashes(data: np.ndarray) -> np.ndarray:
     return values
 
 
-def sampled(data: np.ndarray, valid: np.ndarray, numbers: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Sampled suffixes of a chunk: names, classes, first string (lo), last string (hi), place, ends.
+def sampled(data: np.ndarray, valid: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """Sampled suffixes of a chunk: names, classes, first string (lo), last string (hi), place.
 
-    ``valid`` tells which places start a string of ``length`` bytes within one document. ``ends`` are 16
-    bits each of the hashes of the third of ``length`` before the place and the two thirds from it on: two
-    suffixes without a common end have no common string.
+    ``valid`` tells which places start a string of ``length`` bytes within one document.
     """
     names = gram_hashes(data)
     keys = (names & ~_LOW) | np.arange(len(names), dtype=np.uint64)
@@ -95,15 +95,7 @@ def sampled(data: np.ndarray, valid: np.ndarray, numbers: np.ndarray, length: in
     np.cumsum(_TABLES[1][data] * powers[: len(data)], out=sums[1:])
     classes = (sums[hi + length] - sums[lo]) * inverses[lo]
     classes ^= ((place - lo) * 128 + (hi - lo)).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    before, after = length - 2 * length // 3, 2 * length // 3
-    ends = np.zeros(len(place), dtype=np.uint32)
-    for shift, first, stop in ((0, place - before, place), (16, place, place + after)):
-        inside = (first >= 0) & (stop <= len(data))
-        inside &= numbers[np.maximum(first, 0)] == numbers[np.minimum(stop, len(data)) - 1]
-        first, stop = np.where(inside, first, 0), np.where(inside, stop, 0)
-        hashed = np.where(inside, (sums[stop] - sums[first]) * inverses[first], place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        ends |= (hashed >> np.uint64(48)).astype(np.uint32) << np.uint32(shift)
-    return names[place], classes, lo, hi, place, ends.view(np.int32)
+    return names[place], classes, lo, hi, place
 
 
 def chunks(bodies: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,7 +139,7 @@ def _settle(frame: pd.DataFrame, key: list[str], state: str) -> pd.DataFrame:
 
 
 def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
-    """(name, class, doc, place, ends); place packs twin, lo, place - lo and hi - lo, and is ~place if settled."""
+    """(name, class, doc, place, settled); place packs twin, lo, place - lo and hi - lo."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -155,21 +147,20 @@ def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
             ids = batch["doc"].to_numpy(dtype=np.int64)
             twins = np.array([zlib.crc32(b) & 0xFFFF for b in bodies], dtype=np.int64)
             for data, valid, numbers, offsets in chunks(bodies, length):
-                names, classes, lo, hi, place, ends = sampled(data, valid, numbers, length)
+                names, classes, lo, hi, place = sampled(data, valid, length)
                 if not len(lo):
                     continue
                 number = numbers[lo]
                 packed = (twins[number] << 46) | ((lo + offsets[lo]) << 14) | ((place - lo) << 7) | (hi - lo)
                 frame = pd.DataFrame(
-                    {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed, "ends": ends}
+                    {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed}
                 )
                 frame = _settle(frame, ["name", "class"], "settled")
-                done = frame.pop("settled").to_numpy(dtype=bool)
+                done = frame["settled"].to_numpy(dtype=bool)
                 frame.loc[done, "name"] = frame.loc[done, "place"] * 0x9E3779B1 + frame.loc[done, "doc"]
-                frame.loc[done, "place"] = ~frame.loc[done, "place"]
                 yield frame
 
-    return docs.mapInPandas(scan, "name long, class long, doc long, place long, ends int")
+    return docs.mapInPandas(scan, "name long, class long, doc long, place long, settled int")
 
 
 def _twin(place: Column) -> Column:
@@ -180,13 +171,10 @@ def found_places(docs: DataFrame, length: int) -> DataFrame:
     """(doc, twin, places): repeated places negative, open ones as they are."""
     tuples = sample_tuples(docs, length)
     ranked = tuples.withColumn("rank", F.rank().over(Window.partitionBy("name", "class").orderBy("doc", "place")))
-    differ = lambda *columns: F.min("class").over(Window.partitionBy(*columns)) != F.max("class").over(Window.partitionBy(*columns))
-    repeated = (F.col("place") < 0) | (F.col("rank") > 1)
-    kept = ranked.withColumn("several", differ("name")).where(repeated | F.col("several"))
-    ends = kept.withColumns({"left": F.col("ends").bitwiseAND(F.lit(0xFFFF)), "right": F.shiftrightunsigned("ends", 16)})
-    common = ends.withColumn("common", differ("name", "left")).withColumn("common", F.col("common") | differ("name", "right"))
-    place = F.when(F.col("place") < 0, -F.col("place") - 1).otherwise(F.col("place"))
-    kept = common.where(repeated | F.col("common")).select("doc", F.when(repeated, -place - 1).otherwise(place).alias("place"), _twin(place).alias("twin"))
+    several = Window.partitionBy("name")
+    ranked = ranked.withColumn("several", (F.min("class").over(several) != F.max("class").over(several)))
+    repeated = (F.col("settled") == 1) | (F.col("rank") > 1)
+    kept = ranked.where(repeated | F.col("several")).select("doc", F.when(repeated, -F.col("place") - 1).otherwise(F.col("place")).alias("place"), _twin(F.col("place")).alias("twin"))
     return kept.groupBy("doc", "twin").agg(F.collect_list("place").alias("places"))
 
 
@@ -195,36 +183,65 @@ def unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, lo + (places & 0x7F)
 
 
-def open_strings(joined: DataFrame, length: int) -> DataFrame:
-    """(name, doc, place, settled) of each string that an open place stands for."""
+def _named(names: list[bytes], ids: list[int], places: list[int]) -> pd.DataFrame:
+    """(name, doc, place, settled) of the lists, which are emptied."""
+    made = pd.DataFrame({"name": names, "doc": np.array(ids, dtype=np.int64), "place": np.array(places, dtype=np.int64)})
+    for column in (names, ids, places):
+        column.clear()
+    made = _settle(made, ["name"], "settled")
+    done = made["settled"] == 1
+    shared = made.duplicated("name", keep=False) & ~done
+    made.loc[done, "name"] = [b"%d %d" % pair for pair in zip(made.loc[done, "doc"], made.loc[done, "place"], strict=True)]
+    made.loc[shared, "settled"] = 2
+    return made
+
+
+def spelled(joined: DataFrame, strings: Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int]]]) -> DataFrame:
+    """(name, doc, place, settled) of what ``strings`` gives for each document's open places.
+
+    settled: 1 an earlier equal one is in the batch, 2 a later one is, 0 none is.
+    """
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             names, ids, places = [], [], []
-
-            def frame() -> pd.DataFrame:
-                made = pd.DataFrame({"name": names, "doc": np.array(ids, dtype=np.int64), "place": np.array(places, dtype=np.int64)})  # noqa: B023
-                made = _settle(made, ["name"], "settled")
-                done = made["settled"] == 1
-                made.loc[done, "name"] = [b"%d %d" % pair for pair in zip(made.loc[done, "doc"], made.loc[done, "place"], strict=True)]
-                for column in (names, ids, places):  # noqa: B023
-                    column.clear()
-                return made
-
             for doc, twin, body, marks in zip(batch["doc"], batch["twin"], batch["body"], batch["places"], strict=True):
                 marks = np.asarray(marks, dtype=np.int64)
-                for lo, hi in zip(*(x.tolist() for x in unpacked(marks[marks >= 0])), strict=True):
-                    for at in range(lo, hi + 1):
-                        names.append(xxhash.xxh3_128_digest(body[at : at + length]))
-                        ids.append(doc)
-                        places.append((twin << 46) | at)
+                for name, place in strings(body, marks[marks >= 0]):
+                    names.append(name)
+                    ids.append(doc)
+                    places.append((twin << 46) | place)
                 if len(names) >= 200_000:
-                    yield frame()
-            yield frame()
+                    yield _named(names, ids, places)
+            yield _named(names, ids, places)
+
+    some = joined.where(F.exists("places", lambda p: p >= 0)).select("doc", "twin", "body", "places")
+    return some.mapInPandas(spell, "name binary, doc long, place long, settled int")
+
+
+def cores(length: int) -> Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int]]]:
+    """The strings of a place in bands by their distance before it: what all strings of a band hold."""
+
+    def strings(body: bytes, marks: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        lo, hi = unpacked(marks)
+        for first, last, at in zip(lo.tolist(), hi.tolist(), (lo + ((marks >> 7) & 0x7F)).tolist(), strict=True):
+            for band in range((at - last) // BAND, (at - first) // BAND + 1):
+                start = at - BAND * band
+                low, high = max(first, start - BAND + 1), min(last, start)
+                yield xxhash.xxh3_128_digest(body[start : start + length - BAND + 1], seed=band), (low << 14) | (high - low)
+
+    return strings
+
+
+def singles(length: int) -> Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int]]]:
+    """Each string of a place."""
+
+    def strings(body: bytes, marks: np.ndarray) -> Iterator[tuple[bytes, int]]:
+        for lo, hi in zip(*(x.tolist() for x in unpacked(marks)), strict=True):
+            for at in range(lo, hi + 1):
+                yield xxhash.xxh3_128_digest(body[at : at + length]), at
 
-    return joined.where(F.exists("places", lambda p: p >= 0)).select("doc", "twin", "body", "places").mapInPandas(
-        spell, "name binary, doc long, place long, settled int"
-    )
+    return strings
 
 
 def covered(size: int, marks: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
@@ -250,10 +267,13 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), body.alias("body"))
     found = found_places(rows, length)
-    # one shuffle of the texts serves both joins below
+    # one shuffle of the texts serves all joins below
     twinned = rows.withColumn("twin", F.crc32("body").bitwiseAND(F.lit(0xFFFF)).cast("int"))
     joined = twinned.join(found, ["doc", "twin"], "left")
-    strings = open_strings(joined, length)
+    banded = spelled(joined, cores(length)).withColumn("equal", F.count(F.lit(1)).over(Window.partitionBy("name")))
+    shared = banded.where("settled > 0 or equal > 1").select("doc", _twin(F.col("place")).alias("twin"), "place")
+    bands = shared.groupBy("doc", "twin").agg(F.collect_list("place").alias("places"))
+    strings = spelled(twinned.join(bands, ["doc", "twin"]), singles(length))
     ranked = strings.withColumn("rank", F.rank().over(Window.partitionBy("name").orderBy("doc", "place")))
     repeated = ranked.where("settled = 1 or rank > 1").select("doc", _twin(F.col("place")).alias("twin"), F.col("place").bitwiseAND(F.lit((1 << 46) - 1)).alias("at"))
     gathered = repeated.groupBy("doc", "twin").agg(F.collect_list("at").alias("strings"))
