@@ -10,8 +10,9 @@ equal strings hold their sample at equal places, and each string of ``length`` b
    whole reach), and its place. Tuples are sorted externally, by the disk-backed shuffle, by name, class
    and place. Within a class all but the first place repeat in full; a name with one class is settled.
 2. Induce. Names with several classes agree in part (ends of a shared passage, edited copies). Only
-   for the first place of such a class its strings are compared with others': first, BAND neighbours at
-   a time, by the bytes that all of them hold; then, where those occur again, string by string.
+   the first place of such a class is taken apart, into bands of BAND neighbouring strings. Their tuples
+   are sorted the same way: the name is what all strings of the band hold, the class all its bytes.
+   What is still open then is compared string by string.
 3. Documents take the places found and drop what they cover.
 
 Hashes are 128 bits in all (name and class, or a string's). Repeats within a batch are settled before
@@ -130,16 +131,19 @@ def chunks(bodies: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
         yield laid()
 
 
-def _settle(frame: pd.DataFrame, key: list[str], state: str) -> pd.DataFrame:
-    """Mark what repeats within the batch, and give it keys of its own, to be dealt evenly."""
+def settled(frame: pd.DataFrame) -> pd.DataFrame:
+    """Settle what repeats within the batch: its place becomes ~place, its name one of its own, to be dealt evenly."""
     frame = frame.sort_values(["doc", "place"], kind="stable")
-    again = frame.duplicated(key, keep="first") & ~frame.duplicated([*key, "doc", "place"], keep=False)
-    frame[state] = again.astype(np.int32)
+    key = ["name", "class"]
+    done = frame.duplicated(key, keep="first") & ~frame.duplicated([*key, "doc", "place"], keep=False)
+    own = frame.loc[done, "place"] * 0x9E3779B1 + frame.loc[done, "doc"]
+    frame.loc[done, "name"] = [b"%d" % x for x in own] if frame["name"].dtype == object else own
+    frame.loc[done, "place"] = ~frame.loc[done, "place"]
     return frame
 
 
 def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
-    """(name, class, doc, place, settled); place packs twin, lo, place - lo and hi - lo."""
+    """(name, class, doc, place); place packs twin, lo, place - lo and hi - lo."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,29 +156,24 @@ def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
                     continue
                 number = numbers[lo]
                 packed = (twins[number] << 46) | ((lo + offsets[lo]) << 14) | ((place - lo) << 7) | (hi - lo)
-                frame = pd.DataFrame(
-                    {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed}
-                )
-                frame = _settle(frame, ["name", "class"], "settled")
-                done = frame["settled"].to_numpy(dtype=bool)
-                frame.loc[done, "name"] = frame.loc[done, "place"] * 0x9E3779B1 + frame.loc[done, "doc"]
-                yield frame
+                columns = {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed}
+                yield settled(pd.DataFrame(columns))
 
-    return docs.mapInPandas(scan, "name long, class long, doc long, place long, settled int")
+    return docs.mapInPandas(scan, "name long, class long, doc long, place long")
 
 
 def _twin(place: Column) -> Column:
     return F.shiftright(place, 46).cast("int")
 
 
-def found_places(docs: DataFrame, length: int) -> DataFrame:
-    """(doc, twin, places): repeated places negative, open ones as they are."""
-    tuples = sample_tuples(docs, length)
+def resolved(tuples: DataFrame) -> DataFrame:
+    """(doc, twin, places) of sorted tuples: ~place of what repeats, place of what is open, none of the rest."""
     ranked = tuples.withColumn("rank", F.rank().over(Window.partitionBy("name", "class").orderBy("doc", "place")))
     several = Window.partitionBy("name")
-    ranked = ranked.withColumn("several", (F.min("class").over(several) != F.max("class").over(several)))
-    repeated = (F.col("settled") == 1) | (F.col("rank") > 1)
-    kept = ranked.where(repeated | F.col("several")).select("doc", F.when(repeated, -F.col("place") - 1).otherwise(F.col("place")).alias("place"), _twin(F.col("place")).alias("twin"))
+    ranked = ranked.withColumn("several", F.min("class").over(several) != F.max("class").over(several))
+    repeats = (F.col("place") < 0) | (F.col("rank") > 1)
+    place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
+    kept = ranked.where(repeats | F.col("several")).select("doc", _twin(place).alias("twin"), F.when(repeats, F.bitwise_not(place)).otherwise(place).alias("place"))
     return kept.groupBy("doc", "twin").agg(F.collect_list("place").alias("places"))
 
 
@@ -183,74 +182,71 @@ def unpacked(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo, lo + (places & 0x7F)
 
 
-def _named(names: list[bytes], ids: list[int], places: list[int]) -> pd.DataFrame:
-    """(name, doc, place, settled) of the lists, which are emptied."""
-    made = pd.DataFrame({"name": names, "doc": np.array(ids, dtype=np.int64), "place": np.array(places, dtype=np.int64)})
-    for column in (names, ids, places):
-        column.clear()
-    made = _settle(made, ["name"], "settled")
-    done = made["settled"] == 1
-    shared = made.duplicated("name", keep=False) & ~done
-    made.loc[done, "name"] = [b"%d %d" % pair for pair in zip(made.loc[done, "doc"], made.loc[done, "place"], strict=True)]
-    made.loc[shared, "settled"] = 2
-    return made
+Spelling = Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int, int]]]
 
 
-def spelled(joined: DataFrame, strings: Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int]]]) -> DataFrame:
-    """(name, doc, place, settled) of what ``strings`` gives for each document's open places.
-
-    settled: 1 an earlier equal one is in the batch, 2 a later one is, 0 none is.
-    """
+def spelled(joined: DataFrame, strings: Spelling) -> DataFrame:
+    """Tuples of what ``strings`` gives (name, class, place) for each document's open places."""
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, classes, ids, places = [], [], [], []
+
+        def frame() -> pd.DataFrame:
+            columns = {"class": classes, "doc": ids, "place": places}
+            made = pd.DataFrame({"name": pd.Series(names, dtype=object)} | {k: np.array(v, dtype=np.int64) for k, v in columns.items()})
+            for column in (names, classes, ids, places):
+                column.clear()
+            return settled(made)
+
         for batch in batches:
-            names, ids, places = [], [], []
             for doc, twin, body, marks in zip(batch["doc"], batch["twin"], batch["body"], batch["places"], strict=True):
                 marks = np.asarray(marks, dtype=np.int64)
-                for name, place in strings(body, marks[marks >= 0]):
+                for name, kind, place in strings(body, marks[marks >= 0]):
                     names.append(name)
+                    classes.append(kind)
                     ids.append(doc)
                     places.append((twin << 46) | place)
                 if len(names) >= 200_000:
-                    yield _named(names, ids, places)
-            yield _named(names, ids, places)
+                    yield frame()
+        yield frame()
 
     some = joined.where(F.exists("places", lambda p: p >= 0)).select("doc", "twin", "body", "places")
-    return some.mapInPandas(spell, "name binary, doc long, place long, settled int")
+    return some.mapInPandas(spell, "name binary, class long, doc long, place long")
 
 
-def cores(length: int) -> Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int]]]:
-    """The strings of a place in bands by their distance before it: what all strings of a band hold."""
+def bands(length: int) -> Spelling:
+    """The strings of a place in bands by their distance before it."""
 
-    def strings(body: bytes, marks: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    def strings(body: bytes, marks: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
         lo, hi = unpacked(marks)
         for first, last, at in zip(lo.tolist(), hi.tolist(), (lo + ((marks >> 7) & 0x7F)).tolist(), strict=True):
             for band in range((at - last) // BAND, (at - first) // BAND + 1):
-                start = at - BAND * band
+                start = at - BAND * band  # where the band's last string starts
                 low, high = max(first, start - BAND + 1), min(last, start)
-                yield xxhash.xxh3_128_digest(body[start : start + length - BAND + 1], seed=band), (low << 14) | (high - low)
+                name = xxhash.xxh3_128_digest(body[start : start + length - BAND + 1], seed=band)
+                kind = xxhash.xxh3_64_intdigest(body[low : high + length], seed=(start - low) * BAND + high - low)
+                yield name, kind - (1 << 63), (low << 14) | (high - low)
 
     return strings
 
 
-def singles(length: int) -> Callable[[bytes, np.ndarray], Iterator[tuple[bytes, int]]]:
-    """Each string of a place."""
+def singles(length: int) -> Spelling:
+    """Each string of a place, in a class of its own."""
 
-    def strings(body: bytes, marks: np.ndarray) -> Iterator[tuple[bytes, int]]:
+    def strings(body: bytes, marks: np.ndarray) -> Iterator[tuple[bytes, int, int]]:
         for lo, hi in zip(*(x.tolist() for x in unpacked(marks)), strict=True):
             for at in range(lo, hi + 1):
-                yield xxhash.xxh3_128_digest(body[at : at + length]), at
+                yield xxhash.xxh3_128_digest(body[at : at + length]), 0, at << 14
 
     return strings
 
 
-def covered(size: int, marks: np.ndarray, strings: np.ndarray, length: int) -> np.ndarray:
-    """Mask of the bytes that repeated places and strings cover."""
-    lo, hi = unpacked(-marks[marks < 0] - 1)
-    starts, stops = np.concatenate([lo, strings]), np.concatenate([hi + length, strings + length])
+def covered(size: int, marks: np.ndarray, length: int) -> np.ndarray:
+    """Mask of the bytes that the repeated places cover."""
+    lo, hi = unpacked(~marks[marks < 0])
     edges = np.zeros(size + 1, dtype=np.int64)
-    np.add.at(edges, starts, 1)
-    np.add.at(edges, stops, -1)
+    np.add.at(edges, lo, 1)
+    np.add.at(edges, hi + length, -1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -266,32 +262,30 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
         raise ValueError(f"length must be from {GRAM} to {GRAM + 126}")
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), body.alias("body"))
-    found = found_places(rows, length)
     # one shuffle of the texts serves all joins below
     twinned = rows.withColumn("twin", F.crc32("body").bitwiseAND(F.lit(0xFFFF)).cast("int"))
-    joined = twinned.join(found, ["doc", "twin"], "left")
-    banded = spelled(joined, cores(length)).withColumn("equal", F.count(F.lit(1)).over(Window.partitionBy("name")))
-    shared = banded.where("settled > 0 or equal > 1").select("doc", _twin(F.col("place")).alias("twin"), "place")
-    bands = shared.groupBy("doc", "twin").agg(F.collect_list("place").alias("places"))
-    strings = spelled(twinned.join(bands, ["doc", "twin"]), singles(length))
-    ranked = strings.withColumn("rank", F.rank().over(Window.partitionBy("name").orderBy("doc", "place")))
-    repeated = ranked.where("settled = 1 or rank > 1").select("doc", _twin(F.col("place")).alias("twin"), F.col("place").bitwiseAND(F.lit((1 << 46) - 1)).alias("at"))
-    gathered = repeated.groupBy("doc", "twin").agg(F.collect_list("at").alias("strings"))
+    identity = ["doc", "twin"]
+    whole = resolved(sample_tuples(rows, length))
+    banded = resolved(spelled(twinned.join(whole, identity), bands(length)))
+    single = resolved(spelled(twinned.join(banded, identity), singles(length)))
 
     @F.pandas_udf("n_bytes long, n_removed long, n_spans long, kept_bytes binary")
-    def cut(bodies: pd.Series, marks: pd.Series, starts: pd.Series) -> pd.DataFrame:
+    def cut(bodies: pd.Series, *found: pd.Series) -> pd.DataFrame:
         out = []
-        for body, places, strings in zip(bodies, marks, starts, strict=True):
-            if places is None and strings is None:
+        for body, *places in zip(bodies, *found, strict=True):
+            places = [np.asarray(x, dtype=np.int64) for x in places if x is not None]
+            if not places:
                 out.append((len(body), 0, 0, body))
                 continue
-            arrays = [np.array([] if x is None else x, dtype=np.int64) for x in (places, strings)]
-            gone = covered(len(body), *arrays, length)
+            gone = covered(len(body), np.concatenate(places), length)
             spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
             out.append((len(body), int(gone.sum()), spans, np.frombuffer(body, dtype=np.uint8)[~gone].tobytes()))
         return pd.DataFrame(out, columns=["n_bytes", "n_removed", "n_spans", "kept_bytes"])
 
-    made = joined.join(gathered, ["doc", "twin"], "left").select("doc", cut("body", "places", "strings").alias("_made"))
+    joined = twinned
+    for level, found in enumerate((whole, banded, single)):
+        joined = joined.join(found.withColumnRenamed("places", f"places{level}"), identity, "left")
+    made = joined.select("doc", cut("body", "places0", "places1", "places2").alias("_made"))
     last = F.lit(2**63 - 1)
     return made.select(F.when(F.col("doc") < last, F.col("doc")).alias(key), "_made.*")
 
