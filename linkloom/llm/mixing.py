@@ -19,7 +19,7 @@ from linkloom.llm.common import materialize
 
 #: Weight of a source over training time as (time, factor) knots; factors are scaled to average 1.
 SCHEDULES = [[(0.0, 1.0), (1.0, 1.0)], [(0.0, 0.5), (0.5, 1.0), (1.0, 1.5)], [(0.0, 1.5), (1.0, 0.5)]]
-BUCKET_ROWS = 50_000
+BUCKET_ROWS = 4_000
 
 
 def integrate(knots: list[tuple[float, float]]) -> list[dict[str, float]]:

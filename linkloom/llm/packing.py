@@ -21,15 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 200_000
+CACHED_WORDS = 1_000_000
 _tokenizers: dict[str, object] = {}
 
 
 class WordTokenizer:
     """Ids of a tokenizer that drops white space and so never joins words across it.
 
-    Each different word is encoded once and kept (at most ``CACHED_WORDS`` of them), so a text is one
-    look-up per word.
+    A word is encoded once and kept, the first ``CACHED_WORDS`` of them, so a text is mostly look-ups.
     """
 
     def __init__(self, path: str):
@@ -41,9 +40,7 @@ class WordTokenizer:
     def _encode(self, word: bytes) -> bytes:
         ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
         made = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= 64:
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
+        if len(word) <= 64 and len(self.known) < CACHED_WORDS:
             self.known[word] = made
         return made
 
