@@ -11,6 +11,7 @@ padding. No row is shuffled, and a task that runs again packs its own rows alike
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -21,28 +22,54 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 150_000
 _tokenizers: dict[str, object] = {}
 
 
+#: Words of these characters are the same in NFC, and split into these pieces, in lower case.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Ids of a tokenizer that drops white space and so never joins words across it.
+    """Ids of a lower-casing byte-level tokenizer that drops white space, so words can be encoded one by one.
 
-    A word is encoded once and kept, the first ``CACHED_WORDS`` of them, so a text is mostly look-ups.
+    The first ``CACHED_WORDS`` words and as many pieces are kept, so a text is mostly look-ups. Words of
+    plain letters, digits and signs go to the vocabulary's merges piece by piece, which saves most of
+    the time; all others, and those that may hold a special token, go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.letters = byte_letters()
+
+    def _piece(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
+        made = np.array([token.id for token in self.merges.tokenize(spelled)], dtype="<u4").tobytes()
+        if len(self.pieces) < CACHED_WORDS:
+            self.pieces[piece] = made
+        return made
 
     def _encode(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        made = np.array(ids, dtype="<u4").tobytes()
-        if len(word) <= 64 and len(self.known) < CACHED_WORDS:
-            self.known[word] = made
-        return made
+        text = word.decode("utf-8", "replace")
+        if len(text) <= 64 and "<|" not in text and PLAIN.fullmatch(text):
+            made = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text.lower())])
+            if len(self.known) < CACHED_WORDS:
+                self.known[word] = made
+            return made
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of the text."""
@@ -202,16 +229,18 @@ def pack(
     def pack_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizer = tokenizer_of(tokenizer_path)
         made: list[tuple] = []
+        waiting = 0  # ids in ``made``
         sequence = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
 
         def emit(pieces: list[Piece]) -> None:
-            nonlocal sequence
+            nonlocal sequence, waiting
             offset = 0
             for piece in pieces:
                 row = (piece.doc, piece.start, len(piece), zlib.crc32(piece.ids), piece.doc_tokens, sequence, offset)
                 made.append((*row, np.frombuffer(piece.ids, dtype="<u4").astype(np.int32)) if with_ids else row)
                 offset += len(piece)
             sequence += 1
+            waiting += offset
 
         def frame() -> pd.DataFrame:
             out = pd.DataFrame(made, columns=names)
@@ -224,7 +253,8 @@ def pack(
             for doc, body, leading in zip(batch["doc"], batch["body"], batch["prompt"], strict=True):
                 ids = tokenizer.ids(body or b"") + end
                 packer.add(Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4, int(leading)))
-                if len(made) >= 20_000:
+                if waiting >= 1 << 21:
+                    waiting = 0
                     yield frame()
         packer.finish()
         yield frame()
