@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import materialize
+from linkloom.llm.common import materialize, small_batches
 
 SHARD_PAGES = 64
 RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "title", "object", "math", "canvas"}
@@ -200,7 +200,7 @@ def main_text(
             parsed = [page_blocks(page or "") for page in batch.pop("_body")]
             yield batch.assign(_blocks=parsed)
 
-    named = pages.select(F.col(key).cast("long").alias("_key"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(body).cast("string").alias("_body"))
+    named = small_batches(pages).select(F.col(key).cast("long").alias("_key"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(body).cast("string").alias("_body"))
     draw = F.xxhash64("_key", "_url")
     sharded = named.join(sizes, F.col("_host") == F.col("_h")).withColumn(
         "_shard", F.pmod(draw, F.ceil(F.col("_pages") / F.lit(SHARD_PAGES)).cast("long"))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from linkloom.llm.common import materialize
+from linkloom.llm.common import materialize, small_batches
 
 #: Language families by ISO 639-1 code; a language that isn't listed is a family by itself.
 FAMILIES = {
@@ -126,7 +126,7 @@ def fit(docs: DataFrame, text: str, language: str, draw: Column, sample: int = 4
 
     Languages are non-null values of ``language`` with a letter in the text; None if there are none.
     """
-    known = docs.where(F.col(language).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
+    known = small_batches(docs).where(F.col(language).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     counts = {r[0]: r[1] for r in known.groupBy(language).count().collect()}  # a row a language
     if not counts:
         return None
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, text: str = "text") -
     The text alone decides, so equal texts get equal answers. Result columns replace input columns of
     the same name.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH floats a pair of languages
+    spread = small_batches(docs).sparkSession.sparkContext.broadcast(model)  # WIDTH floats a pair of languages
 
     @F.pandas_udf("lang string, score double")
     def predict(bodies: pd.Series, lettered: pd.Series) -> pd.DataFrame:

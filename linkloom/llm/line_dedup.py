@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import LOWER_ASCII, SPACE_BYTES, materialize
+from linkloom.llm.common import LOWER_ASCII, SPACE_BYTES, materialize, small_batches
 
 
 def line_key(line: bytes) -> bytes:
@@ -45,7 +45,7 @@ def repeated_lines(docs: DataFrame, text: str, key: str, min_chars: int, min_doc
                 hashes += found
             yield pd.DataFrame({"doc": pd.Series(ids, dtype="Int64"), "hash": hashes})
 
-    narrow = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("body"))
+    narrow = small_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("body"))
     lines = materialize(narrow.mapInPandas(explode, "doc long, hash binary"), "line-keys")
     counted = lines.groupBy("hash").agg(F.countDistinct(F.coalesce(F.col("doc"), F.lit(-(2**63)))).alias("docs"), F.max("doc").alias("last"))
     common = counted.where(F.col("docs") >= min_docs).select("hash", "last")

@@ -22,6 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import small_batches
+
 CACHED_WORDS = 150_000
 _tokenizers: dict[str, object] = {}
 
@@ -260,7 +262,7 @@ def pack(
         yield frame()
 
     leading = F.coalesce(F.col(prompt).cast("long"), F.lit(0)) if prompt else F.lit(0).cast("long")
-    rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("body"), leading.alias("prompt"))
+    rows = small_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("body"), leading.alias("prompt"))
     kinds = "doc long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     packed = rows.mapInPandas(pack_batches, kinds + (", ids array<int>" if with_ids else ""))
     return packed.withColumnRenamed("doc", key)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import block_pairs
-from linkloom.llm.common import LOWER_ASCII, materialize
+from linkloom.llm.common import LOWER_ASCII, materialize, small_batches
 from linkloom.llm.components import connected_components
 
 SHARD_ROWS = 2048
@@ -143,7 +143,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
         values = np.fromiter((fingerprint(b, width) for b in bodies), dtype=np.uint64, count=len(bodies))
         return pd.Series(values.view(np.int64))
 
-    rows = materialize(docs.select(F.col(key).alias("_id"), fingerprints(F.col(text).cast("binary")).alias("_fp")), "fingerprints")
+    rows = materialize(small_batches(docs).select(F.col(key).alias("_id"), fingerprints(F.col(text).cast("binary")).alias("_fp")), "fingerprints")
     classes = materialize(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "classes")
     roots = connected_components(link_fingerprints(classes.select(F.col("_fp").alias("fp")), radius))
     rooted = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))

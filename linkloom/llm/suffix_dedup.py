@@ -32,6 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linkloom.llm.common import small_batches
+
 GRAM = 32
 BAND = 8
 CHUNK = 1 << 20
@@ -261,7 +263,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
     if not GRAM <= length < GRAM + 127:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 126}")
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), body.alias("body"))
+    rows = small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), body.alias("body"))
     # one shuffle of the texts serves all joins below
     twinned = rows.withColumn("twin", F.crc32("body").bitwiseAND(F.lit(0xFFFF)).cast("int"))
     identity = ["doc", "twin"]
