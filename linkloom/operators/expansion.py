@@ -32,12 +32,12 @@ RING_STRIDE = 17
 class ExpansionOptions:
     combo_values: int = 5
     combo_other_values: int = 3
-    towns_per_category: int = 100
-    geo_facet_regions: int = 10
+    towns_per_category: int | None = None  # None: all
+    geo_facet_regions: int | None = None
     geo_facets: int = 2
     geo_facet_values: int = 5
     keywords_per_category: int = 20
-    hybrid_regions: int = 15
+    hybrid_regions: int | None = None
     hybrid_keywords: int = 1
 
 

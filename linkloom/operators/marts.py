@@ -31,20 +31,20 @@ def link_stats(pages: DataFrame, edges: DataFrame) -> DataFrame:
     joined = pages.select("page_id").join(out, "page_id", "left").join(into, "page_id", "left")
     return joined.na.fill(0).select(
         "page_id",
-        F.col("outgoing_links").cast("int"),
+        F.col("outgoing_links").cast("long"),
         "outgoing_weight",
-        F.col("unique_out_targets").cast("int"),
-        F.col("incoming_links").cast("int"),
+        F.col("unique_out_targets").cast("long"),
+        F.col("incoming_links").cast("long"),
         "incoming_weight",
-        F.col("unique_in_sources").cast("int"),
+        F.col("unique_in_sources").cast("long"),
     )
 
 
 def anchor_stats(candidates: DataFrame) -> DataFrame:
     """Per source page: distinct anchor texts and kinds."""
     return candidates.groupBy(F.col("source_id").alias("page_id")).agg(
-        n_unique("anchor_text").cast("int").alias("unique_anchor_texts_out"),
-        n_unique("anchor_type").cast("int").alias("unique_anchor_types_out"),
+        n_unique("anchor_text").cast("long").alias("unique_anchor_texts_out"),
+        n_unique("anchor_type").cast("long").alias("unique_anchor_types_out"),
     )
 
 

@@ -55,7 +55,7 @@ def depth_stats(metrics: DataFrame) -> DataFrame:
         F.when(F.col("t") > 0, F.col("t")).otherwise(1.0)
     ).scalar()
     per_depth = metrics.groupBy("depth").agg(
-        _count().cast("int").alias("page_count"),
+        _count().cast("long").alias("page_count"),
         F.sum("pri_score").alias("pri_sum"),
         F.avg("pri_score").alias("pri_mean"),
         (F.avg(F.col("can_give_juice").cast("double")) * 100).alias("donor_ratio_pct"),

@@ -45,7 +45,6 @@ class RankOptions:
     steps_per_check: int = 8
     links_per_partition: int = 100_000
     split_links: int = 1_000_000
-    max_partitions: int = 20_000
 
 
 def transition_table(links: DataFrame) -> DataFrame:
@@ -140,7 +139,7 @@ def rank_graphs(
         link_count = transitions.count()
         if node_count == 0 or link_count == 0:
             return everywhere.select("graph", "page_id", F.lit(1.0 / max(node_count, 1)).alias("score"))
-        partitions = min(options.max_partitions, max(1, math.ceil(link_count / options.links_per_partition)))
+        partitions = max(1, math.ceil(link_count / options.links_per_partition))
         # The layout is fixed by hand here, so the loop neither re-plans nor broadcasts on its own.
         settings = {
             "spark.sql.shuffle.partitions": str(partitions),
@@ -185,7 +184,11 @@ def _iterate(layout: list[tuple[DataFrame, DataFrame | None]], node_count: int,
             third = cut_lineage(_step(layout, second, options.damping))
             done += options.steps_per_check
             ratios, change = _ratios_and_change(first, second, third, node_count, options.damping)
-            if change < options.tolerance or done >= options.max_iterations:
+            if change < options.tolerance:
+                return third
+            if done >= options.max_iterations:
+                if options.tolerance > 0:  # a tolerance of 0 asks for a fixed number of steps
+                    raise RuntimeError(f"ranks still change by {change:.3g} after {done} steps; raise max_iterations or tolerance")
                 return third
             vector = _extrapolated(second, third, ratios)
     finally:

@@ -62,8 +62,8 @@ def degrees(pages: DataFrame, edges: DataFrame, by: list[str] = []) -> DataFrame
     return pages.join(counted, [*by, "page_id"], "left").select(
         *by,
         "page_id",
-        F.coalesce("out_degree", F.lit(0)).cast("int").alias("out_degree"),
-        F.coalesce("in_degree", F.lit(0)).cast("int").alias("in_degree"),
+        F.coalesce("out_degree", F.lit(0)).cast("long").alias("out_degree"),
+        F.coalesce("in_degree", F.lit(0)).cast("long").alias("in_degree"),
     )
 
 
@@ -110,9 +110,9 @@ def score_variants(pages: DataFrame, edges: DataFrame, variants: list[str], opti
     is_forward = F.col("graph").startswith("pri ")
     placed = ranked.groupBy("variant", "page_id").agg(
         F.max(F.when(is_forward, F.col("score"))).alias("pri_score"),
-        F.max(F.when(is_forward, F.col("rank"))).cast("int").alias("rank"),
+        F.max(F.when(is_forward, F.col("rank"))).cast("long").alias("rank"),
         F.max(F.when(~is_forward, F.col("score"))).alias("cheirank_score"),
-        F.max(F.when(~is_forward, F.col("rank"))).cast("int").alias("cheirank_rank"),
+        F.max(F.when(~is_forward, F.col("rank"))).cast("long").alias("cheirank_rank"),
     )
     counted = degrees(placed.select("variant", "page_id"), edges, ["variant"])
     scored = placed.join(counted, ["variant", "page_id"]).withColumn(
@@ -158,7 +158,7 @@ def scores_normalize(scores: DataFrame) -> DataFrame:
     """The full ``pri_scores`` contract from a table that may lack derived columns."""
     require_columns(scores, ["page_id", "pri_score"], "the score table")
     have = set(scores.columns)
-    full = scores.withColumn("page_id", F.col("page_id").cast("int")).withColumn("pri_score", F.col("pri_score").cast("double"))
+    full = scores.withColumn("page_id", F.col("page_id").cast("long")).withColumn("pri_score", F.col("pri_score").cast("double"))
     if "cheirank_score" not in have:
         full = full.withColumn("cheirank_score", F.col("pri_score"))
     for name in ("out_degree", "in_degree"):

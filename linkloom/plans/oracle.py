@@ -170,7 +170,7 @@ cte(
 )
 cte(
     "pg",
-    f"""SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS page_id, path, {parent('path')} AS parent_path,
+    f"""SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS page_id, path, {parent('path')} AS parent_path,
   {depth('path')} AS depth, {section('path')} AS section, {cluster('path')} AS cluster_thematique,
   path NOT IN (SELECT from_path FROM internal) AS is_leaf
   FROM (SELECT from_path AS path FROM internal UNION SELECT to_path FROM internal)""",
@@ -343,9 +343,9 @@ LEFT JOIN verticals ON verticals.category = x.category""",
 )
 cte(
     "seg",
-    f"""SELECT page_id, CAST(0 AS TINYINT) AS level, 'root' AS segment, '/' AS segment_path, CAST(NULL AS VARCHAR) AS parent_segment_path,
+    f"""SELECT page_id, CAST(0 AS INTEGER) AS level, 'root' AS segment, '/' AS segment_path, CAST(NULL AS VARCHAR) AS parent_segment_path,
   depth, len(p) = 0 AS is_terminal FROM (SELECT *, {segment_pieces('path')} AS p FROM pg)
-UNION ALL SELECT page_id, CAST(i AS TINYINT), p[i], concat('/', array_to_string(p[1:i], '/')),
+UNION ALL SELECT page_id, CAST(i AS INTEGER), p[i], concat('/', array_to_string(p[1:i], '/')),
   CASE WHEN i = 1 THEN '/' ELSE concat('/', array_to_string(p[1:i-1], '/')) END, depth, i = len(p)
 FROM (SELECT *, unnest(range(1, len(p) + 1)) AS i FROM (SELECT *, {segment_pieces('path')} AS p FROM pg))""",
     "pg",
@@ -428,7 +428,7 @@ LATERAL (SELECT replace(region_key, '/', '') AS section,
 )
 cte(
     "tp",
-    """SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS page_id, * FROM
+    """SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS page_id, * FROM
   (SELECT path, parent_path, depth, section, cluster_thematique, min(is_leaf) AS is_leaf FROM tree_nodes GROUP BY ALL)""",
     "tree_nodes",
 )
@@ -505,9 +505,9 @@ cte(
     f"""SELECT concat('/cl/', category, '/', CASE kind WHEN 'region' THEN concat('rp_', place) WHEN 'department' THEN concat('dp_', place)
     ELSE concat('cp_', place, '_', {cp("concat(category, '_', place)")}) END) AS path,
   concat('/c/', category) AS parent_path, 'cl' AS template, concat('cl:', category) AS cluster_thematique
-FROM (SELECT DISTINCT category FROM categories), places WHERE kind <> 'town' OR place_no <= 100
+FROM (SELECT DISTINCT category FROM categories), places
 UNION ALL SELECT concat('/cl/', category, '/rp_', place, '/', facet, ':', value), concat('/cl/', category, '/rp_', place), 'cl', concat('cl:', category)
-FROM facets, places WHERE kind = 'region' AND place_no <= 10 AND facet_no <= 2 AND value_no <= 5""",
+FROM facets, places WHERE kind = 'region' AND facet_no <= 2 AND value_no <= 5""",
     "categories",
     "places",
     "facets",
@@ -523,29 +523,24 @@ cte(
     f"""SELECT concat('/ckl/', category, '/', slug, '/cp_', place, '_', {cp("concat(place, '_0')")}, '/', facet, ':', value) AS path,
   concat('/ck/', category, '/', slug) AS parent_path, 'ckl' AS template, concat('ckl:', category) AS cluster_thematique
 FROM (SELECT *, {kw("concat(category, '_', facet, '_', value, '_', place, '_0')")} AS slug FROM facets, places
-  WHERE kind = 'region' AND place_no <= 15 AND facet_no <= 2 AND value_no <= 5)""",
+  WHERE kind = 'region' AND facet_no <= 2 AND value_no <= 5)""",
     "facets",
     "places",
 )
 cte(
     "xp",
-    """SELECT CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS page_id, path, parent_path,
+    """SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS page_id, path, parent_path,
   CAST(len(list_filter(string_split(path, '/'), lambda p: p <> '')) AS SMALLINT) AS depth,
   coalesce(nullif(string_split(path, '/')[2], ''), 'root') AS section, cluster_thematique, template, true AS is_leaf
 FROM (SELECT path, m.template AS template, m.parent_path AS parent_path, m.cluster_thematique AS cluster_thematique FROM
   (SELECT path, min({'template': template, 'parent_path': parent_path, 'cluster_thematique': cluster_thematique}) AS m FROM
-    (FROM x_category UNION ALL FROM x_facet UNION ALL FROM x_geo UNION ALL FROM x_keyword UNION ALL FROM x_hybrid) GROUP BY path))
-WHERE true QUALIFY template <> 'cl' OR row_number() OVER (PARTITION BY template ORDER BY path) <= 15000""",
+    (FROM x_category UNION ALL FROM x_facet UNION ALL FROM x_geo UNION ALL FROM x_keyword UNION ALL FROM x_hybrid) GROUP BY path))""",
     "x_category",
     "x_facet",
     "x_geo",
     "x_keyword",
     "x_hybrid",
 )
-# QUALIFY runs after the page numbers are drawn, so the numbers are drawn again.
-_XP = CTES.pop("xp")
-cte("xp_kept", _XP[0], *_XP[1])
-cte("xp", "SELECT * REPLACE (CAST(row_number() OVER (ORDER BY path) AS INTEGER) AS page_id) FROM xp_kept", "xp_kept")
 add_rules("exp", "xp")
 
 

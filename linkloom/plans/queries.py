@@ -904,21 +904,6 @@ add(
     "SELECT page_id, path, parent_path, depth, section, cluster_thematique, template, is_leaf FROM xp", "xp",
 )
 add("expand_template_counts", lambda s: ex.template_counts(s.expanded), "SELECT template, count(*) AS count FROM xp GROUP BY 1", "xp")
-add(
-    "ring_pages", lambda s: ex.ring_pages(s.spark, s.tables["part"].count(), s.tables["supplier"].count()),
-    """SELECT CAST(i AS INTEGER) AS page_id, concat('synthetic/', i, '/') AS path, CAST(NULL AS VARCHAR) AS parent_path, CAST(2 AS SMALLINT) AS depth,
-  'synthetic' AS section, concat('synthetic:cluster-', (i - 1) % (SELECT count(*) FROM supplier)) AS cluster_thematique, true AS is_leaf
-FROM (SELECT row_number() OVER () AS i FROM part)""",
-)
-add(
-    "ring_edges", lambda s: ex.ring_edges(s.spark, s.tables["part"].count(), s.tables["lineitem"].count()),
-    """WITH c AS (SELECT (SELECT count(*) FROM part) AS n, (SELECT count(*) FROM lineitem) AS e),
-l AS (SELECT i AS source_id, ((i + step * 17 - 1) % n) + 1 AS target_id, step, e FROM
-  (SELECT *, unnest(range(1, CAST(ceil(e / n::DOUBLE) AS BIGINT) + 1)) AS step FROM (SELECT row_number() OVER () AS i FROM part), c))
-SELECT CAST(source_id AS INTEGER) AS source_id, CAST(target_id AS INTEGER) AS target_id, 'synthetic' AS block_type, CAST(1.0 AS FLOAT) AS rule_weight
-FROM l WHERE source_id <> target_id QUALIFY row_number() OVER (ORDER BY source_id, step) <= e""",
-    f="rule_weight",
-)
 
 # 2.12 Reports.
 

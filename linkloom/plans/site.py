@@ -197,7 +197,7 @@ class Site:
 
     @property
     def expanded(self) -> DataFrame:
-        return self._stage("expanded_pages", lambda: ex.expand_finalize(self.drafts, {"cl": 15_000}))
+        return self._stage("expanded_pages", lambda: ex.expand_finalize(self.drafts))
 
     # Audit document.
 

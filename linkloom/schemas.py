@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 PAGES = {
-    "page_id": "int",
+    "page_id": "bigint",
     "path": "string",
     "parent_path": "string",
     "depth": "smallint",
@@ -15,7 +15,7 @@ PAGES = {
     "is_leaf": "boolean",
 }
 TEMPLATE_PAGES = {
-    "page_id": "int",
+    "page_id": "bigint",
     "path": "string",
     "parent_path": "string",
     "depth": "smallint",
@@ -24,7 +24,7 @@ TEMPLATE_PAGES = {
     "template": "string",
     "is_leaf": "boolean",
 }
-EDGES = {"source_id": "int", "target_id": "int", "block_type": "string", "rule_weight": "float"}
+EDGES = {"source_id": "bigint", "target_id": "bigint", "block_type": "string", "rule_weight": "float"}
 ANCHOR_CANDIDATES = {
     **EDGES,
     "anchor_type": "string",
@@ -38,42 +38,42 @@ SCENARIO_EDGES = {
     "anchor_diversity_score": "float",
 }
 PRI_SCORES = {
-    "page_id": "int",
+    "page_id": "bigint",
     "pri_score": "double",
-    "rank": "int",
+    "rank": "bigint",
     "cheirank_score": "double",
-    "cheirank_rank": "int",
+    "cheirank_rank": "bigint",
     "juice_potential_score": "double",
-    "out_degree": "int",
-    "in_degree": "int",
+    "out_degree": "bigint",
+    "in_degree": "bigint",
     "is_low_power": "boolean",
     "can_give_juice": "boolean",
 }
 URL_METRICS = {
-    "page_id": "int",
+    "page_id": "bigint",
     "path": "string",
     "depth": "smallint",
     "pri_score": "double",
-    "rank": "int",
+    "rank": "bigint",
     "cheirank_score": "double",
-    "cheirank_rank": "int",
-    "in_degree": "int",
-    "out_degree": "int",
+    "cheirank_rank": "bigint",
+    "in_degree": "bigint",
+    "out_degree": "bigint",
     "can_give_juice": "boolean",
     "is_low_power": "boolean",
-    "incoming_links": "int",
-    "outgoing_links": "int",
+    "incoming_links": "bigint",
+    "outgoing_links": "bigint",
     "incoming_weight": "double",
     "outgoing_weight": "double",
-    "unique_out_targets": "int",
-    "unique_in_sources": "int",
-    "unique_anchor_texts_out": "int",
-    "unique_anchor_types_out": "int",
+    "unique_out_targets": "bigint",
+    "unique_in_sources": "bigint",
+    "unique_anchor_texts_out": "bigint",
+    "unique_anchor_types_out": "bigint",
     "lexical_diversity_out": "double",
 }
 PAGE_SEGMENTS = {
-    "page_id": "int",
-    "level": "tinyint",
+    "page_id": "bigint",
+    "level": "int",
     "segment": "string",
     "segment_path": "string",
     "parent_segment_path": "string",
@@ -81,10 +81,10 @@ PAGE_SEGMENTS = {
     "is_terminal": "boolean",
 }
 SEGMENT_METRICS = {
-    "level": "tinyint",
+    "level": "int",
     "segment_path": "string",
     "segment": "string",
-    "page_count": "int",
+    "page_count": "bigint",
     "pri_sum": "double",
     "pri_mean": "double",
     "cheirank_sum": "double",

@@ -27,6 +27,8 @@ def crawl_csv_scan(spark: SparkSession, path: str, multi_line: bool = False) ->
         spark.read.option("header", True)
         .option("mode", "PERMISSIVE")
         .option("escape", '"')
+        .option("nullValue", "\u0000")  # cannot occur, so that "" stays an empty text and only ,, is null
+        .option("emptyValue", "")
         .option("multiLine", multi_line)
         .csv(path)
     )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +37,10 @@ class Workspace:
     def has(self, name: str) -> bool:
         try:
             self.read(name)
-        except (AnalysisException, Py4JJavaError):
-            return False
+        except AnalysisException as error:
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return False
+            raise
         return True
 
     def table(self, name: str, make: Callable[[], DataFrame], partition_by: list[str] | None = None) -> DataFrame:
@@ -53,11 +54,19 @@ def scenario_table_scan(workspace: Workspace, name: str = "scenario_edges") -> D
 
 
 def csv_export(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    """Text is written as it is, blanks at its ends included."""
+    options = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode("overwrite").options(**options).csv(path)
+
+
+def csv_table(spark: SparkSession, path: str) -> DataFrame:
+    """An exported table as strings, null and empty text told apart."""
+    options = {"header": True, "escape": '"', "multiLine": True, "nullValue": "\u0000", "emptyValue": ""}
+    return spark.read.options(**options).csv(path)
 
 
 def export_workspace(workspace: Workspace, folder: str, include_scenarios: bool = True) -> tuple[DataFrame, list[str]]:
-    """CSV copies of all tables; returns (table, row_count) and the optional tables not found."""
+    """CSV copies of all tables; returns (table, row_count) as read back and the optional tables not found."""
     missing = [name for name in REQUIRED_TABLES if not workspace.has(name)]
     if missing:
         raise ValueError("missing tables for export: " + ", ".join(workspace.path(name) for name in missing))
@@ -68,7 +77,7 @@ def export_workspace(workspace: Workspace, folder: str, include_scenarios: bool
         target = f"{folder.rstrip('/')}/csv/{name}"
         table = workspace.read(name)
         csv_export(table, target)
-        row = table.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
+        row = csv_table(workspace.spark, target).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table"), "row_count")
         exported = row if exported is None else exported.unionByName(row)
     return exported, absent
 

@@ -17,7 +17,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
         folder = tempfile.mkdtemp(prefix="linkloom-")
     if context.getCheckpointDir() is None:
