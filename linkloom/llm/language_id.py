@@ -13,8 +13,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LinearSVC
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,6 +107,8 @@ def _features(bodies: pd.Series) -> pd.Series:
 
 
 def _fit_duels(rows: DataFrame, column: str, names: list[str]) -> Duels:
+    from pyspark.ml.classification import LinearSVC  # here, so that Python workers needn't load it
+
     names = sorted(names)
     pairs, weights, biases = list(combinations(range(len(names)), 2)), [], []
     for a, b in pairs:
@@ -126,6 +126,8 @@ def fit(docs: DataFrame, text: str, language: str, draw: Column, sample: int = 4
 
     Languages are non-null values of ``language`` with a letter in the text; None if there are none.
     """
+    from pyspark.ml.functions import array_to_vector
+
     known = small_batches(docs).where(F.col(language).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)))
     counts = {r[0]: r[1] for r in known.groupBy(language).count().collect()}  # a row a language
     if not counts:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import small_batches
 
-CACHED_WORDS = 150_000
+CACHED_WORDS = 60_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -255,7 +255,7 @@ def pack(
             for doc, body, leading in zip(batch["doc"], batch["body"], batch["prompt"], strict=True):
                 ids = tokenizer.ids(body or b"") + end
                 packer.add(Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4, int(leading)))
-                if waiting >= 1 << 21:
+                if waiting >= 1 << 18:
                     waiting = 0
                     yield frame()
         packer.finish()
