@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import block_pairs
-from linkloom.llm.common import materialize
+from linkloom.llm.common import materialize, small_batches
 from linkloom.llm.components import connected_components
 
 #: Reference vectors in all; their numbers fit a 64-bit mask.
@@ -83,7 +83,7 @@ def near_vectors(
     numbers = F.col(embedding).cast("array<double>")
     finite = F.forall(numbers, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     sound = F.coalesce(F.col(label).isNotNull() & finite & F.exists(numbers, lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(key).alias("_id"), F.col(label).alias("_label"), numbers.alias("_vector"), sound.alias("_sound"))
+    rows = small_batches(vectors).select(F.col(key).alias("_id"), F.col(label).alias("_label"), numbers.alias("_vector"), sound.alias("_sound"))
     good = rows.where("_sound").withColumn("_length", F.size("_vector"))
     classes = materialize(
         good.groupBy("_label", "_length", "_vector")
