@@ -29,13 +29,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 #: Rows at a time between Spark and Python where texts are sent; texts run to hundreds of kilobytes.
 BATCH_ROWS = 1000
+#: Settings by which an idle worker gives the memory of its last batches back.
+WORKER_MEMORY = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576"}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, after getting its session ready for Python workers.
 
-    Arrow batches are lowered to BATCH_ROWS rows, which bounds a worker's memory, and workers look for
-    this package where the driver found it.
+    Arrow batches are lowered to BATCH_ROWS rows, which bounds a worker's memory, workers give memory
+    back after a batch, and they look for this package where the driver found it.
     """
     spark, name = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
@@ -44,6 +46,8 @@ def small_batches(df: DataFrame) -> DataFrame:
     paths = [path for path in environment.get("PYTHONPATH", "").split(os.pathsep) if path]
     if root not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    for setting, value in WORKER_MEMORY.items():
+        environment.setdefault(setting, value)
     return df
 
 

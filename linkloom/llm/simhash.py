@@ -114,19 +114,19 @@ def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
     shards = prints.select("fp", F.explode(F.array(*keys)).alias("_key")).select("fp", "_key.band", "_key.value")
     blocks = block_pairs(shards, ["band", "value"], F.col("fp"), SHARD_ROWS)
     grouped = blocks.groupBy("band", "value", "_i", "_j").agg(F.collect_list(F.struct("fp", "_left", "_right")).alias("members"))
+    # flat arrays reach Python as numpy arrays, about ten bytes a member
+    flat = [F.col(f"members.{name}").alias(name) for name in ("fp", "_left", "_right")]
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = []
-            for members in batch["members"]:
-                rows = [(m["fp"], m["_left"], m["_right"]) for m in members]
-                signed = np.array([r[0] for r in rows], dtype=np.int64)
-                left, right = (np.array([r[k] for r in rows], dtype=bool) for k in (1, 2))
-                plain = signed.tolist()
-                found += [(plain[a], plain[b]) for a, b in local_links(signed.view(np.uint64), left, right, radius)]
+            for prints, left, right in zip(batch["fp"], batch["_left"], batch["_right"], strict=True):
+                signed = np.array(prints, dtype=np.int64)
+                links = local_links(signed.view(np.uint64), np.array(left, dtype=bool), np.array(right, dtype=bool), radius)
+                found += [(int(signed[a]), int(signed[b])) for a, b in links]
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return grouped.select("members").mapInPandas(search, "a long, b long")
+    return grouped.select(*flat).mapInPandas(search, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, width: int = 4) -> DataFrame:
