@@ -85,6 +85,11 @@ def anomaly_table(audits: DataFrame, severities: list[str] | None = None) -> Dat
     return anomaly_rows(audits, severities).groupBy("severity", "template").agg(F.count(F.lit(1)).alias("count"))
 
 
+def anomaly_severities(audits: DataFrame) -> DataFrame:
+    """Anomalies of each severity, over all templates."""
+    return anomaly_rows(audits).groupBy("severity").agg(F.count(F.lit(1)).alias("count"))
+
+
 def ad_outlinks_total(audits: DataFrame, template: str) -> DataFrame:
     """Links a page of one template sends out, over all its sections."""
     of_template = _sections(audits).where(F.col("template") == template)

@@ -152,7 +152,7 @@ FROM {part}
 AUDIT_ANOMALIES = """
 SELECT CASE o_orderstatus WHEN 'F' THEN 'HIGH' WHEN 'O' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   lower(o_orderpriority) AS template, 'slow_order' AS type, CAST(o_orderkey AS STRING) AS detail
-FROM {orders} WHERE o_totalprice > 400000
+FROM {orders}
 """
 
 

@@ -683,6 +683,10 @@ add(
     "anomaly_table", lambda s: au.anomaly_table(anomaly_audits(s), ["HIGH", "MEDIUM"]),
     "SELECT severity, template, count(*) AS count FROM anomalies WHERE severity IN ('HIGH', 'MEDIUM') GROUP BY ALL", "anomalies",
 )
+add(
+    "anomaly_severities", lambda s: au.anomaly_severities(anomaly_audits(s)),
+    "SELECT severity, count(*) AS count FROM anomalies GROUP BY ALL", "anomalies",
+)
 add(
     "ad_outlinks_total", lambda s: au.ad_outlinks_total(audits(s), "promo"),
     f"SELECT sum(links) AS total_outlinks FROM ({HEAT}) WHERE template = 'promo'", "cells", d="total_outlinks",
@@ -872,18 +876,26 @@ add(
 WHERE scenario = '{_NAMES[1]}' AND {IN_TYPE} ORDER BY pri_score DESC, page_id LIMIT 20""",
     "scen_scores", "pg", "um", d="pri_score",
 )
-_D = _DELTAS[1]
-add(
-    "scenario_gainers_losers", lambda s: sv.scenario_gainers_losers(s.comparison, s.pages, _D, in_type(s)),
-    f"""WITH x AS (SELECT page_id, path, {_D} AS delta_pri FROM cmp JOIN (SELECT page_id, path FROM pg) USING (page_id) WHERE {IN_TYPE})
+
+
+def add_delta_views(suffix: str, delta: str) -> None:
+    """Boards and figures of one scenario's difference from the first."""
+    add(
+        f"scenario_gainers_losers{suffix}", lambda s: sv.scenario_gainers_losers(s.comparison, s.pages, delta, in_type(s)),
+        f"""WITH x AS (SELECT page_id, path, {delta} AS delta_pri FROM cmp JOIN (SELECT page_id, path FROM pg) USING (page_id) WHERE {IN_TYPE})
 (SELECT 'gainers' AS board, * FROM x ORDER BY delta_pri DESC, page_id LIMIT 15) UNION ALL (SELECT 'losers', * FROM x ORDER BY delta_pri, page_id LIMIT 15)""",
-    "cmp", "pg", "um", d="delta_pri", decimals=14,
-)
-add(
-    "scenario_delta_stats", lambda s: sv.scenario_delta_stats(s.comparison, _D),
-    f"SELECT min({_D}) AS min_delta_pri, avg({_D}) AS mean_delta_pri, max({_D}) AS max_delta_pri, median({_D}) AS median_delta_pri FROM cmp",
-    "cmp", d="min_delta_pri mean_delta_pri max_delta_pri median_delta_pri", decimals=14,
-)
+        "cmp", "pg", "um", d="delta_pri", decimals=14,
+    )
+    add(
+        f"scenario_delta_stats{suffix}", lambda s: sv.scenario_delta_stats(s.comparison, delta),
+        f"SELECT min({delta}) AS min_delta_pri, avg({delta}) AS mean_delta_pri, max({delta}) AS max_delta_pri, median({delta}) AS median_delta_pri FROM cmp",
+        "cmp", d="min_delta_pri mean_delta_pri max_delta_pri median_delta_pri", decimals=14,
+    )
+
+
+add_delta_views("", _DELTAS[1])
+add_delta_views("_first_change", _DELTAS[0])
+
 add(
     "scenario_page_impact", lambda s: sv.scenario_page_impact(s.comparison, s.pages, PAGE),
     f"SELECT cmp.*, path FROM cmp JOIN (SELECT page_id, path FROM pg) USING (page_id) WHERE page_id = {PAGE}", "cmp", "pg", d=CMP_D, decimals=14,
