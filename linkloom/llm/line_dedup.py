@@ -3,7 +3,9 @@
 1. Lines are exploded to (key hash, document); a document gives each key once.
 2. Distinct documents are counted per key, partially in each task, so a line that a third of all
    documents share is a few counts by the time it is shuffled.
-3. Keys of at least ``min_docs`` documents lose their lines everywhere but in the largest document.
+3. Keys of at least ``min_docs`` documents lose their lines everywhere but in the largest document. The
+   most common keys are told by a broadcast, as there can be only OFTEN of them; only the others' lines
+   are shuffled to find out, so no task gets the lines of one hot key.
 4. Documents get the hashes they lose and are put together again from the other lines, in order.
 """
 
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import LOWER_ASCII, SPACE_BYTES, materialize, small_batches
 
+#: A key in over one in so many of all (line, document) rows is common; there are fewer such keys than this.
+OFTEN = 10_000
+
 
 def line_key(line: bytes) -> bytes:
     """ASCII white space stripped at both ends, A-Z lower-cased."""
@@ -48,8 +53,12 @@ def repeated_lines(docs: DataFrame, text: str, key: str, min_chars: int, min_doc
     narrow = small_batches(docs).select(F.col(key).cast("long").alias("doc"), F.col(text).cast("binary").alias("body"))
     lines = materialize(narrow.mapInPandas(explode, "doc long, hash binary"), "line-keys")
     counted = lines.groupBy("hash").agg(F.countDistinct(F.coalesce(F.col("doc"), F.lit(-(2**63)))).alias("docs"), F.max("doc").alias("last"))
-    common = counted.where(F.col("docs") >= min_docs).select("hash", "last")
-    return lines.join(common, "hash").where(~F.col("doc").eqNullSafe(F.col("last"))).select("doc", "hash")
+    repeated = materialize(counted.where(F.col("docs") >= min_docs), "repeated-lines")
+    often = F.col("docs") * F.lit(OFTEN) > F.lit(lines.count())
+    hot, rare = repeated.where(often).select("hash", "last"), repeated.where(~often).select("hash", "last")
+    others = lines.join(F.broadcast(hot.select("hash")), "hash", "left_anti")
+    found = lines.join(F.broadcast(hot), "hash").unionByName(others.join(rare, "hash"))
+    return found.where(~F.col("doc").eqNullSafe(F.col("last"))).select("doc", "hash")
 
 
 def drop_repeated_lines(
