@@ -2,7 +2,8 @@
 
 Taxonomy inputs:
 ``categories(category, verticale)``; ``facets(category, facet, facet_no, value, value_no)``
-with both numbers starting at 1; ``places(kind, place, place_no)`` with kind ``region``,
+with both numbers starting at 1; ``keywords(category, keyword, facet, value)`` with the facet
+value that a keyword names; ``places(kind, place, place_no, code)`` with kind ``region``,
 ``department`` or ``town`` numbered from 1 within its kind; ``static_pages(path,
 parent_path, template, cluster_thematique)``.
 """
@@ -21,41 +22,26 @@ from linkloom.schemas import EDGES, PAGES, TEMPLATE_PAGES, conform
 
 DRAFT = ["path", "parent_path", "template", "cluster_thematique"]
 
-# Vertical of unlisted categories, and the shapes of generated slugs.
+# Vertical of unlisted categories, and the stride of rings.
 OTHER_VERTICAL = "_services_"
-KEYWORD_RANGE = 999_999
-POSTCODE_START, POSTCODE_RANGE = 10_000, 90_000
 RING_STRIDE = 17
 
 
 @dataclass(frozen=True)
 class ExpansionOptions:
-    combo_values: int = 5
-    combo_other_values: int = 3
-    towns_per_category: int | None = None  # None: all
+    """How many values of a list are used; None: all."""
+
+    combo_values: int | None = None
+    combo_other_values: int | None = None
+    towns_per_category: int | None = None
     geo_facet_regions: int | None = None
-    geo_facets: int = 2
-    geo_facet_values: int = 5
-    keywords_per_category: int = 20
+    geo_facets: int | None = None
+    geo_facet_values: int | None = None
     hybrid_regions: int | None = None
-    hybrid_keywords: int = 1
-
-
-def stable_number(text: Column) -> Column:
-    """A number from the first eight hex digits of the md5 of a text."""
-    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
-
-
-def _padded(number: Column, width: int) -> Column:
-    return F.lpad(number.cast("string"), width, "0")
 
 
-def _keyword(text: Column) -> Column:
-    return F.concat(F.lit("kw-"), _padded(stable_number(text) % KEYWORD_RANGE, 6))
-
-
-def _postcode(text: Column) -> Column:
-    return _padded(stable_number(text) % POSTCODE_RANGE + POSTCODE_START, 5)
+def _up_to(rows: DataFrame, number: str, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.where(F.col(number) <= limit)
 
 
 def _draft(df: DataFrame, path: Column, parent: Column, template: str, family: str) -> DataFrame:
@@ -95,11 +81,11 @@ def expand_facet_pages(facets: DataFrame, options: ExpansionOptions = ExpansionO
     # The first other facet is number 1, except for facet 1 itself, which pairs with number 2.
     wanted = F.when(F.col("facet_no") == 1, F.lit(2)).otherwise(F.lit(1))
     pairs = named.select("category", "facet", wanted.alias("other_no"))
-    others = facets.where(F.col("value_no") <= options.combo_other_values).select(
+    others = _up_to(facets, "value_no", options.combo_other_values).select(
         "category", F.col("facet").alias("other"), F.col("facet_no").alias("other_no"), F.col("value").alias("other_value")
     )
     combos = (
-        facets.where(F.col("value_no") <= options.combo_values)
+        _up_to(facets, "value_no", options.combo_values)
         .join(pairs, ["category", "facet"])
         .join(others, ["category", "other_no"])
     )
@@ -109,13 +95,11 @@ def expand_facet_pages(facets: DataFrame, options: ExpansionOptions = ExpansionO
 
 def _with_places(rows: DataFrame, places: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
     """Every row with the first ``limit`` places of a kind, matched by place number."""
-    of_kind = places.where(F.col("kind") == kind)
-    if limit is not None:
-        of_kind = of_kind.where(F.col("place_no") <= limit)
+    of_kind = _up_to(places.where(F.col("kind") == kind), "place_no", limit)
     last = of_kind.agg(F.coalesce(F.max("place_no"), F.lit(0)).cast("int")).scalar()
     numbers = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
     return rows.withColumn("place_no", F.explode(numbers)).join(
-        of_kind.select(F.col("place_no").cast("int").alias("place_no"), "place"), "place_no"
+        of_kind.select(F.col("place_no").cast("int").alias("place_no"), "place", "code"), "place_no"
     )
 
 
@@ -127,12 +111,10 @@ def expand_geo_pages(
     parent = _p("/c/{category}")
     regions = _with_places(names, places, "region")
     departments = _with_places(names, places, "department")
-    towns = _with_places(names, places, "town", options.towns_per_category).withColumn(
-        "code", _postcode(_p("{category}_{place}"))
+    towns = _with_places(names, places, "town", options.towns_per_category)
+    top_facets = _up_to(_up_to(facets, "facet_no", options.geo_facets), "value_no", options.geo_facet_values).select(
+        "category", "facet", "value"
     )
-    top_facets = facets.where(
-        (F.col("facet_no") <= options.geo_facets) & (F.col("value_no") <= options.geo_facet_values)
-    ).select("category", "facet", "value")
     faceted = _with_places(top_facets, places, "region", options.geo_facet_regions)
     return (
         _draft(regions, _p("/cl/{category}/rp_{place}"), parent, "cl", "cl")
@@ -144,28 +126,17 @@ def expand_geo_pages(
     )
 
 
-def _numbered(rows: DataFrame, count: int) -> DataFrame:
-    return rows.withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(max(count, 1) - 1))))
-
+def expand_keyword_pages(keywords: DataFrame) -> DataFrame:
+    """One page per keyword of a category."""
+    rows = keywords.select("category", "keyword").distinct()
+    return _draft(rows, _p("/ck/{category}/{keyword}"), _p("/c/{category}"), "ck", "ck")
 
-def expand_keyword_pages(categories: DataFrame, options: ExpansionOptions = ExpansionOptions()) -> DataFrame:
-    """Hashed keyword pages per category."""
-    rows = _numbered(categories.select("category").distinct(), options.keywords_per_category)
-    rows = rows.withColumn("slug", _keyword(_p("{category}_{n}")))
-    return _draft(rows, _p("/ck/{category}/{slug}"), _p("/c/{category}"), "ck", "ck")
 
-
-def expand_hybrid_pages(facets: DataFrame, places: DataFrame, options: ExpansionOptions = ExpansionOptions()) -> DataFrame:
-    """Keyword pages per category, facet value and region."""
-    top = facets.where((F.col("facet_no") <= options.geo_facets) & (F.col("value_no") <= options.geo_facet_values))
-    rows = _with_places(top.select("category", "facet", "value"), places, "region", options.hybrid_regions)
-    rows = (
-        _numbered(rows, options.hybrid_keywords)
-        .withColumn("slug", _keyword(_p("{category}_{facet}_{value}_{place}_{n}")))
-        .withColumn("code", _postcode(_p("{place}_{n}")))
-    )
-    path = _p("/ckl/{category}/{slug}/cp_{place}_{code}/{facet}:{value}")
-    return _draft(rows, path, _p("/ck/{category}/{slug}"), "ckl", "ckl")
+def expand_hybrid_pages(keywords: DataFrame, places: DataFrame, options: ExpansionOptions = ExpansionOptions()) -> DataFrame:
+    """One page per keyword, facet value that it names, and region."""
+    rows = _with_places(keywords.select("category", "keyword", "facet", "value").distinct(), places, "region", options.hybrid_regions)
+    path = _p("/ckl/{category}/{keyword}/cp_{place}_{code}/{facet}:{value}")
+    return _draft(rows, path, _p("/ck/{category}/{keyword}"), "ckl", "ckl")
 
 
 def expand_finalize(drafts: DataFrame, budgets: dict[str, int] | None = None) -> DataFrame:

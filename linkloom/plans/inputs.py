@@ -116,10 +116,17 @@ SELECT category, facet, facet_no, value,
   row_number() OVER (PARTITION BY category, facet ORDER BY value) AS value_no
 FROM pairs
 """
+# Part names are what people look for; the first word names a colour.
+KEYWORDS = """
+SELECT DISTINCT concat(lower(p_type), '-', replace(p_brand, 'Brand#', '')) AS category, replace(lower(p_name), ' ', '-') AS keyword,
+  'color' AS facet, split_part(p_name, ' ', 1) AS value
+FROM {part}
+"""
 PLACES = """
-SELECT 'region' AS kind, lower(n_name) AS place, n_nationkey + 1 AS place_no FROM {nation}
-UNION ALL SELECT 'department', lower(r_name), r_regionkey + 1 FROM {region}
-UNION ALL SELECT 'town', replace(lower(s_name), '#', '-'), CAST(s_suppkey + 1 AS INT) FROM {supplier}
+SELECT 'region' AS kind, lower(n_name) AS place, n_nationkey + 1 AS place_no, concat('n', CAST(n_nationkey AS STRING)) AS code FROM {nation}
+UNION ALL SELECT 'department', lower(r_name), r_regionkey + 1, concat('r', CAST(r_regionkey AS STRING)) FROM {region}
+UNION ALL SELECT 'town', replace(lower(s_name), '#', '-'), CAST(s_suppkey + 1 AS INT),
+  concat('n', CAST(s_nationkey AS STRING), '-', CAST(s_suppkey AS STRING)) FROM {supplier}
 """
 STATIC_PAGES = """
 SELECT '/' AS path, CAST(NULL AS STRING) AS parent_path, 'homepage' AS template, 'root' AS cluster_thematique

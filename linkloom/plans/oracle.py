@@ -78,10 +78,6 @@ def selector(source: str = "source_id", target: str = "target_id", block_type: s
     return f"(CAST(concat('0x', substring(md5({key}), 1, 8)) AS BIGINT) % 10000) / 10000.0::DOUBLE"
 
 
-def stable_number(x: str) -> str:
-    return f"CAST(concat('0x', substring(md5({x}), 1, 8)) AS BIGINT)"
-
-
 def parent(x: str) -> str:
     up = f"regexp_replace({x}, '/[^/]+$', '')"
     return f"CASE WHEN {x} = '/' THEN NULL ELSE coalesce(nullif({up}, ''), '/') END"
@@ -138,6 +134,7 @@ for _name, _sql in {
     "verticals": inputs.CATEGORY_VERTICALS,
     "categories": inputs.CATEGORIES,
     "facets": inputs.FACETS,
+    "keywords": inputs.KEYWORDS,
     "places": inputs.PLACES,
     "static_pages": inputs.STATIC_PAGES,
     "tree_pieces": inputs.TREE_PIECES,
@@ -218,8 +215,11 @@ cte(
 cte("ppg", f"SELECT *, {inputs.TEMPLATE_OF_PAGE} AS template FROM pg", "pg")
 
 
-def add_rank(prefix: str, links: str, *needs: str) -> None:
-    """CTEs ``<prefix>_rank(graph, page_id, score)`` from links(graph, source, target, weight)."""
+def add_rank(prefix: str, links: str, steps: int, *needs: str) -> None:
+    """CTEs ``<prefix>_rank(graph, page_id, score)`` from links(graph, source, target, weight).
+
+    SQL can't stop by itself: ``steps`` is how many the query's tolerance takes at sf0.01.
+    """
     d = RANK.damping
     w = f"{prefix}_w"
     cte(f"{prefix}_m", f"SELECT graph, source, target, sum(weight) AS weight FROM ({links}) GROUP BY ALL", *needs)
@@ -232,7 +232,7 @@ def add_rank(prefix: str, links: str, *needs: str) -> None:
     last = [f"{prefix}_v1"]
     cte(last[0], f"SELECT graph, target, sum(share) * {d / (1 - d)!r}::DOUBLE AS linked FROM {w} GROUP BY ALL", w)
     done = 1
-    while done < RANK.max_iterations:
+    while done < steps:
         for _ in range(RANK.steps_per_check):
             done += 1
             name = f"{prefix}_v{done}"
@@ -244,7 +244,7 @@ def add_rank(prefix: str, links: str, *needs: str) -> None:
                 last[-1],
             )
             last.append(name)
-        if done < RANK.max_iterations:
+        if done < steps:
             first, second, third = last[-3:]
             name = f"{prefix}_x{done}"
             cte(
@@ -299,7 +299,7 @@ def both_ways(edges: str, weight: str = "CAST(rule_weight AS DOUBLE)") -> str:
 
 
 SITE_EDGES = "SELECT 'site' AS variant, * FROM edges"
-add_rank("site", both_ways(SITE_EDGES), "edges")
+add_rank("site", both_ways(SITE_EDGES), 65, "edges")
 cte("scores", f"SELECT * EXCLUDE (variant) FROM ({_scores('site', SITE_EDGES)})", "site_rank", "edges")
 
 cte(
@@ -400,7 +400,7 @@ cte(
     "diversity",
 )
 SCENARIO_EDGES = "SELECT scenario AS variant, source_id, target_id, rule_weight FROM scen_edges"
-add_rank("scen", both_ways(SCENARIO_EDGES), "scen_edges")
+add_rank("scen", both_ways(SCENARIO_EDGES), 49, "scen_edges")
 cte("scen_scores", f"SELECT variant AS scenario, * EXCLUDE (variant) FROM ({_scores('scen', SCENARIO_EDGES)})", "scen_rank", "scen_edges")
 _A, _B, _C = [s.name for s in SCENARIOS]
 cte(
@@ -471,18 +471,6 @@ cte(
 )
 
 # Expanded pages.
-_KW = "concat('kw-', lpad(CAST({0} % 999999 AS VARCHAR), 6, '0'))"
-_CP = "lpad(CAST({0} % 90000 + 10000 AS VARCHAR), 5, '0')"
-
-
-def kw(x: str) -> str:
-    return _KW.format(stable_number(x))
-
-
-def cp(x: str) -> str:
-    return _CP.format(stable_number(x))
-
-
 cte(
     "x_category",
     """SELECT path, parent_path, template, cluster_thematique FROM static_pages
@@ -497,34 +485,33 @@ cte(
   concat('c:', category) AS cluster_thematique FROM facets
 UNION ALL SELECT concat('/c/', a.category, '/', a.facet, ':', a.value, '+', b.facet, ':', b.value),
   concat('/c/', a.category, '/', a.facet, ':', a.value), 'c_L3', concat('c:', a.category)
-FROM facets a JOIN facets b ON a.category = b.category AND a.facet <> b.facet WHERE a.value_no <= 5 AND b.value_no <= 3""",
+FROM facets a JOIN facets b ON a.category = b.category AND a.facet <> b.facet""",
     "facets",
 )
 cte(
     "x_geo",
-    f"""SELECT concat('/cl/', category, '/', CASE kind WHEN 'region' THEN concat('rp_', place) WHEN 'department' THEN concat('dp_', place)
-    ELSE concat('cp_', place, '_', {cp("concat(category, '_', place)")}) END) AS path,
+    """SELECT concat('/cl/', category, '/', CASE kind WHEN 'region' THEN concat('rp_', place) WHEN 'department' THEN concat('dp_', place)
+    ELSE concat('cp_', place, '_', code) END) AS path,
   concat('/c/', category) AS parent_path, 'cl' AS template, concat('cl:', category) AS cluster_thematique
 FROM (SELECT DISTINCT category FROM categories), places
 UNION ALL SELECT concat('/cl/', category, '/rp_', place, '/', facet, ':', value), concat('/cl/', category, '/rp_', place), 'cl', concat('cl:', category)
-FROM facets, places WHERE kind = 'region' AND facet_no <= 2 AND value_no <= 5""",
+FROM facets, places WHERE kind = 'region'""",
     "categories",
     "places",
     "facets",
 )
 cte(
     "x_keyword",
-    f"""SELECT concat('/ck/', category, '/', {kw("concat(category, '_', n)")}) AS path, concat('/c/', category) AS parent_path, 'ck' AS template,
-  concat('ck:', category) AS cluster_thematique FROM (SELECT DISTINCT category FROM categories), range(20) r(n)""",
-    "categories",
+    """SELECT DISTINCT concat('/ck/', category, '/', keyword) AS path, concat('/c/', category) AS parent_path, 'ck' AS template,
+  concat('ck:', category) AS cluster_thematique FROM keywords""",
+    "keywords",
 )
 cte(
     "x_hybrid",
-    f"""SELECT concat('/ckl/', category, '/', slug, '/cp_', place, '_', {cp("concat(place, '_0')")}, '/', facet, ':', value) AS path,
-  concat('/ck/', category, '/', slug) AS parent_path, 'ckl' AS template, concat('ckl:', category) AS cluster_thematique
-FROM (SELECT *, {kw("concat(category, '_', facet, '_', value, '_', place, '_0')")} AS slug FROM facets, places
-  WHERE kind = 'region' AND facet_no <= 2 AND value_no <= 5)""",
-    "facets",
+    """SELECT concat('/ckl/', category, '/', keyword, '/cp_', place, '_', code, '/', facet, ':', value) AS path,
+  concat('/ck/', category, '/', keyword) AS parent_path, 'ckl' AS template, concat('ckl:', category) AS cluster_thematique
+FROM keywords, places WHERE kind = 'region'""",
+    "keywords",
     "places",
 )
 cte(

@@ -909,8 +909,8 @@ add(
 )
 add("expand_facet_pages", lambda s: ex.expand_facet_pages(s.facets, EXPANSION), f"SELECT {DRAFT} FROM x_facet", "x_facet")
 add("expand_geo_pages", lambda s: ex.expand_geo_pages(s.categories, s.places, s.facets, EXPANSION), f"SELECT {DRAFT} FROM x_geo", "x_geo")
-add("expand_keyword_pages", lambda s: ex.expand_keyword_pages(s.categories, EXPANSION), f"SELECT {DRAFT} FROM x_keyword", "x_keyword")
-add("expand_hybrid_pages", lambda s: ex.expand_hybrid_pages(s.facets, s.places, EXPANSION), f"SELECT {DRAFT} FROM x_hybrid", "x_hybrid")
+add("expand_keyword_pages", lambda s: ex.expand_keyword_pages(s.keywords), f"SELECT {DRAFT} FROM x_keyword", "x_keyword")
+add("expand_hybrid_pages", lambda s: ex.expand_hybrid_pages(s.keywords, s.places, EXPANSION), f"SELECT {DRAFT} FROM x_hybrid", "x_hybrid")
 add(
     "expand_finalize", lambda s: s.expanded,
     "SELECT page_id, path, parent_path, depth, section, cluster_thematique, template, is_leaf FROM xp", "xp",

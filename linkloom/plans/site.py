@@ -20,9 +20,8 @@ from linkloom.sources.crawl import tree_json_lines_scan
 from linkloom.sources.workspace import Workspace
 from linkloom.storage import new_folder
 
-# A fixed number of steps, so that the SQL form of a query does the same arithmetic; the last
-# step changes the ranks of the given sites by less than 1e-10.
-RANK = RankOptions(tolerance=0.0, max_iterations=49, steps_per_check=8)
+# Until a step changes the ranks by less than a thousandth of their rounding; more than 200 steps raise an error.
+RANK = RankOptions(tolerance=1e-12)
 SCORE = ScoreOptions(rank=RANK)
 EXPANSION = ex.ExpansionOptions()
 ALL_LISTINGS = ["/c/", "/ck/", "/ckl/", "/cl/", "/l/", "homepage"]
@@ -177,6 +176,10 @@ class Site:
     def facets(self) -> DataFrame:
         return self._stage("facets", lambda: self._input(inputs.FACETS))
 
+    @property
+    def keywords(self) -> DataFrame:
+        return self._stage("keywords", lambda: self._input(inputs.KEYWORDS))
+
     @property
     def places(self) -> DataFrame:
         return self._stage("places", lambda: self._input(inputs.PLACES))
@@ -191,8 +194,8 @@ class Site:
             ex.expand_category_pages(self.categories, self.static_pages)
             .unionByName(ex.expand_facet_pages(self.facets, EXPANSION))
             .unionByName(ex.expand_geo_pages(self.categories, self.places, self.facets, EXPANSION))
-            .unionByName(ex.expand_keyword_pages(self.categories, EXPANSION))
-            .unionByName(ex.expand_hybrid_pages(self.facets, self.places, EXPANSION))
+            .unionByName(ex.expand_keyword_pages(self.keywords))
+            .unionByName(ex.expand_hybrid_pages(self.keywords, self.places, EXPANSION))
         )
 
     @property

@@ -164,17 +164,21 @@ def template_pages(spark):
         "category string, facet string, facet_no int, value string, value_no int",
     )
     places = spark.createDataFrame(
-        [("region", f"r{i}", i) for i in range(1, 4)] + [("department", "01", 1)] + [("town", f"t{i}", i) for i in range(1, 6)],
-        "kind string, place string, place_no int",
+        [("region", f"r{i}", i, "c") for i in range(1, 4)] + [("department", "01", 1, "c")] + [("town", f"t{i}", i, f"c{i}") for i in range(1, 6)],
+        "kind string, place string, place_no int, code string",
+    )
+    keywords = spark.createDataFrame(
+        [(c, f"{c} {n}", "kind", "road") for c in ("cars", "bikes") for n in range(3)] + [("cars", "cars 1", "fuel", "f1")],
+        "category string, keyword string, facet string, value string",
     )
     static = spark.createDataFrame([("/", None, "homepage", "root"), ("/dc/legal", "/", "dc", "dc")], "path string, parent_path string, template string, cluster_thematique string")
-    options = ex.ExpansionOptions(towns_per_category=2, keywords_per_category=3)
+    options = ex.ExpansionOptions(combo_values=5, combo_other_values=3, towns_per_category=2, geo_facet_values=5)
     drafts = (
         ex.expand_category_pages(categories, static)
         .unionByName(ex.expand_facet_pages(facets, options))
         .unionByName(ex.expand_geo_pages(categories, places, facets, options))
-        .unionByName(ex.expand_keyword_pages(categories, options))
-        .unionByName(ex.expand_hybrid_pages(facets, places, options))
+        .unionByName(ex.expand_keyword_pages(keywords))
+        .unionByName(ex.expand_hybrid_pages(keywords, places, options))
     )
     return ex.expand_finalize(drafts)
 
@@ -183,7 +187,7 @@ def test_expansion_counts(template_pages):
     counts = {r.template: r["count"] for r in ex.template_counts(template_pages).collect()}
     assert counts["c_L0"] == 2 and counts["c_L1"] == 2 and counts["c_L2"] == 11
     assert counts["c_L3"] == 5 * 3 + 4 * 3  # five brands with three fuels, four fuels with three brands
-    assert counts["cl"] == 2 * (3 + 1 + 2) + 3 * (5 + 4 + 1) and counts["ck"] == 6 and counts["ckl"] == 3 * 10
+    assert counts["cl"] == 2 * (3 + 1 + 2) + 3 * (5 + 4 + 1) and counts["ck"] == 6 and counts["ckl"] == 3 * 7
     ids = sorted(r.page_id for r in template_pages.collect())
     assert ids == list(range(1, len(ids) + 1))
 
