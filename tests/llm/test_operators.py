@@ -248,6 +248,39 @@ def test_dates_and_ssns_map_one_to_one(spark):
     assert ssn.select("n").distinct().count() == 999 and ssn.where(valid).where("n rlike '^(000|666|9)|-00-|-0000$'").count() == 0
 
 
+def test_no_planted_number_survives(spark):
+    phones = ["+1 (017) 555-7713", "(117) 055-7713", "+14155550100", "+1 415 555 0100", "415 555 0100", "(415)5550100", "+1-015-155-0100", "+1 (415) 555-0101x12"]
+    dates = ["2021-03-04T05:06", "2021-03-04t0506", "25/12/1999", "29/02/2000", "13/01/1900"]
+    planted = phones + dates
+    rows = spark.createDataFrame([(i, f"call {v}, or wait") for i, v in enumerate(planted)] + [(90, "30/02/1999 31/04/2001 32/01/2001")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymise(rows, "k").collect()}
+    assert [(v, got[i]["n_found"], got[i]["n_replaced"]) for i, v in enumerate(planted)] == [(v, 1, 1) for v in planted]
+    for i, v in enumerate(planted):
+        assert re.sub("[0-9]", "0", got[i]["text"]) == re.sub("[0-9]", "0", f"call {v}, or wait")
+    assert got[90]["n_replaced"] == 0
+    linked = [re.sub(r"\D", "", got[i]["text"])[-10:] for i in (2, 3, 4, 5)]
+    assert len(set(linked)) == 1
+
+
+def test_given_phone_numbers_are_all_found(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    planted = F.regexp_extract_all("text", F.lit(r"\+1 \(\d{3}\) \d{3}-\d{4}"), F.lit(0))
+    made = pii.pseudonymise(docs.withColumn("_planted", planted), "k").where(F.size("_planted") > 0)
+    rows = made.select("_planted", "text").collect()
+    assert rows and not [v for r in rows for v in r["_planted"] if v in r["text"]]
+
+
+def test_day_first_dates_and_odd_area_codes_map_one_to_one(spark):
+    days = spark.sql("select explode(sequence(date'1999-01-01', date'2000-12-31')) d")
+    strings = days.select(F.date_format("d", "dd/MM/yyyy").alias("v")).union(days.select(F.date_format("d", "MM/dd/yyyy"))).distinct()
+    new = strings.select("v", pii.pseudonym(F.col("v"), "k").alias("n"))
+    assert new.select("n").distinct().count() == new.count()
+    assert new.where("substr(v, 1, 2) > '12'").where("try_to_date(n, 'dd/MM/yyyy') is null or substr(n, 1, 2) <= '12'").count() == 0
+    numbers = spark.range(0, 1000).select(F.format_string("+1 (%03d) 155-0100", "id").alias("v"))
+    phones = numbers.select(pii.pseudonym(F.col("v"), "k").alias("n"))
+    assert phones.distinct().count() == 1000
+
+
 PAGE = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p>';</script></head><body><header>Site</header>"
     "<nav><ul><li><a href=/>Menu</a></li></ul></nav><div class='ad'>Buy</div><article><h1>Head &amp; more</h1><p>First <b>bold</b>"
