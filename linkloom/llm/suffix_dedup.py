@@ -23,16 +23,15 @@ from __future__ import annotations
 
 import hashlib
 import random
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linkloom.llm.common import small_batches
+from linkloom.llm.common import materialize, small_batches
 
 GRAM = 32
 BAND = 8
@@ -135,47 +134,43 @@ def chunks(bodies: list[bytes], length: int) -> Iterator[tuple[np.ndarray, np.nd
 
 def settled(frame: pd.DataFrame) -> pd.DataFrame:
     """Settle what repeats within the batch: its place becomes ~place, its name one of its own, to be dealt evenly."""
-    frame = frame.sort_values(["doc", "place"], kind="stable")
+    frame = frame.sort_values(["doc", "twin", "place"], kind="stable")
     key = ["name", "class"]
-    done = frame.duplicated(key, keep="first") & ~frame.duplicated([*key, "doc", "place"], keep=False)
-    own = frame.loc[done, "place"] * 0x9E3779B1 + frame.loc[done, "doc"]
+    done = frame.duplicated(key, keep="first") & ~frame.duplicated([*key, "doc", "twin", "place"], keep=False)
+    own = frame.loc[done, "place"] * 0x9E3779B1 + frame.loc[done, "doc"] + frame.loc[done, "twin"]
     frame.loc[done, "name"] = [b"%d" % x for x in own] if frame["name"].dtype == object else own
     frame.loc[done, "place"] = ~frame.loc[done, "place"]
     return frame
 
 
 def sample_tuples(docs: DataFrame, length: int) -> DataFrame:
-    """(name, class, doc, place); place packs twin, lo, place - lo and hi - lo."""
+    """(name, class, doc, twin, place); place packs lo, place - lo and hi - lo."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bodies = batch["body"].tolist()
             ids = batch["doc"].to_numpy(dtype=np.int64)
-            twins = np.array([zlib.crc32(b) & 0xFFFF for b in bodies], dtype=np.int64)
+            twins = batch["twin"].to_numpy(dtype=np.int64)
             for data, valid, numbers, offsets in chunks(bodies, length):
                 names, classes, lo, hi, place = sampled(data, valid, length)
                 if not len(lo):
                     continue
                 number = numbers[lo]
-                packed = (twins[number] << 46) | ((lo + offsets[lo]) << 14) | ((place - lo) << 7) | (hi - lo)
-                columns = {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "place": packed}
+                packed = ((lo + offsets[lo]) << 14) | ((place - lo) << 7) | (hi - lo)
+                columns = {"name": names.view(np.int64), "class": classes.view(np.int64), "doc": ids[number], "twin": twins[number], "place": packed}
                 yield settled(pd.DataFrame(columns))
 
-    return docs.mapInPandas(scan, "name long, class long, doc long, place long")
-
-
-def _twin(place: Column) -> Column:
-    return F.shiftright(place, 46).cast("int")
+    return docs.mapInPandas(scan, "name long, class long, doc long, twin long, place long")
 
 
 def resolved(tuples: DataFrame) -> DataFrame:
     """(doc, twin, places) of sorted tuples: ~place of what repeats, place of what is open, none of the rest."""
-    ranked = tuples.withColumn("rank", F.rank().over(Window.partitionBy("name", "class").orderBy("doc", "place")))
+    ranked = tuples.withColumn("rank", F.rank().over(Window.partitionBy("name", "class").orderBy("doc", "twin", "place")))
     several = Window.partitionBy("name")
     ranked = ranked.withColumn("several", F.min("class").over(several) != F.max("class").over(several))
     repeats = (F.col("place") < 0) | (F.col("rank") > 1)
     place = F.when(F.col("place") < 0, F.bitwise_not("place")).otherwise(F.col("place"))
-    kept = ranked.where(repeats | F.col("several")).select("doc", _twin(place).alias("twin"), F.when(repeats, F.bitwise_not(place)).otherwise(place).alias("place"))
+    kept = ranked.where(repeats | F.col("several")).select("doc", "twin", F.when(repeats, F.bitwise_not(place)).otherwise(place).alias("place"))
     return kept.groupBy("doc", "twin").agg(F.collect_list("place").alias("places"))
 
 
@@ -191,12 +186,12 @@ def spelled(joined: DataFrame, strings: Spelling) -> DataFrame:
     """Tuples of what ``strings`` gives (name, class, place) for each document's open places."""
 
     def spell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names, classes, ids, places = [], [], [], []
+        names, classes, ids, twins, places = [], [], [], [], []
 
         def frame() -> pd.DataFrame:
-            columns = {"class": classes, "doc": ids, "place": places}
+            columns = {"class": classes, "doc": ids, "twin": twins, "place": places}
             made = pd.DataFrame({"name": pd.Series(names, dtype=object)} | {k: np.array(v, dtype=np.int64) for k, v in columns.items()})
-            for column in (names, classes, ids, places):
+            for column in (names, classes, ids, twins, places):
                 column.clear()
             return settled(made)
 
@@ -207,13 +202,14 @@ def spelled(joined: DataFrame, strings: Spelling) -> DataFrame:
                     names.append(name)
                     classes.append(kind)
                     ids.append(doc)
-                    places.append((twin << 46) | place)
+                    twins.append(twin)
+                    places.append(place)
                 if len(names) >= 200_000:
                     yield frame()
         yield frame()
 
     some = joined.where(F.exists("places", lambda p: p >= 0)).select("doc", "twin", "body", "places")
-    return some.mapInPandas(spell, "name binary, class long, doc long, place long")
+    return some.mapInPandas(spell, "name binary, class long, doc long, twin long, place long")
 
 
 def bands(length: int) -> Spelling:
@@ -257,17 +253,23 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", len
 
     Null text is empty; texts shorter than ``length`` lose nothing. Earlier is a smaller id (null after all
     others) or, within a document, an earlier place. Equal rows of one id are one document that loses
-    the same bytes in each; different texts of one id follow each other in the order of a 16-bit
-    checksum. An empty table gives an empty table.
+    the same bytes in each; different texts of one id follow each other in the order of a 64-bit
+    hash. An empty table gives an empty table.
     """
     if not GRAM <= length < GRAM + 127:
         raise ValueError(f"length must be from {GRAM} to {GRAM + 126}")
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
     rows = small_batches(docs).select(F.coalesce(F.col(key).cast("long"), F.lit(2**63 - 1)).alias("doc"), body.alias("body"))
+    # only texts that share an id are told apart by their hash; all others have twin 0, which takes no room in the shuffles
+    hashed = F.xxhash64("body")
+    shared = rows.groupBy(F.col("doc").alias("_doc")).agg(F.min(hashed).alias("_least"), F.max(hashed).alias("_most")).where("_least <> _most")
+    # as a stored table its size is known, so Spark broadcasts it only if it is small
+    shared = materialize(shared.select("_doc"), "shared-ids")
+    twin = F.when(F.col("_doc").isNull(), F.lit(0)).otherwise(hashed).cast("long")
     # one shuffle of the texts serves all joins below
-    twinned = rows.withColumn("twin", F.crc32("body").bitwiseAND(F.lit(0xFFFF)).cast("int"))
+    twinned = rows.join(shared, F.col("doc") == F.col("_doc"), "left").select("doc", "body", twin.alias("twin"))
     identity = ["doc", "twin"]
-    whole = resolved(sample_tuples(rows, length))
+    whole = resolved(sample_tuples(twinned, length))
     banded = resolved(spelled(twinned.join(whole, identity), bands(length)))
     single = resolved(spelled(twinned.join(banded, identity), singles(length)))
 

@@ -139,6 +139,27 @@ def test_suffix_dedup_repeated_rows_lose_alike(docs):
     assert len(rows) == 2 and rows[0] == rows[1]
 
 
+def test_suffix_dedup_tells_texts_of_one_id_apart(spark):
+    random = np.random.default_rng(6)
+    noise = lambda n: bytes(random.integers(97, 123, n).astype(np.uint8)).decode()
+    shared, seen = noise(300), {}
+    while True:  # two texts of unlike length with one 16-bit checksum
+        one = noise(150) if len(seen) % 2 else noise(900) + shared
+        other = seen.setdefault(zlib.crc32(one.encode()) & 0xFFFF, one)
+        if len(other) > len(one) or len(other) < len(one):
+            break
+    texts = [one, other, *(noise(200) for _ in range(300)), noise(150) + shared]
+    rows = [(None, t) for t in texts] + [(1, shared), (7, "a" + texts[5]), (7, "b" + texts[5]), (7, "b" + texts[5])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    # what follows the first in the order of (id, hash): a number for each different text of it
+    order = sorted({(2**63 - 1 if i is None else i, np.uint64(xxhash.xxh64_intdigest(t.encode(), 42)).view(np.int64).item(), t) for i, t in rows})
+    want = suffix_dedup.brute_force([(n, t.encode()) for n, (_, _, t) in enumerate(order)], 100)
+    expected = Counter()
+    for n, (i, _, t) in enumerate(order):
+        expected[(None if i == 2**63 - 1 else i, *want[n])] += rows.count((None if i == 2**63 - 1 else i, t))
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept_bytes"]).hexdigest()) for r in got) == expected
+
+
 def test_embeddings_against_all_pairs(spark):
     random = np.random.default_rng(1)
     base = random.normal(size=(60, 16))
