@@ -22,10 +22,16 @@ from pyspark.sql import functions as F
 from linkloom.llm.common import materialize, small_batches
 
 SHARD_PAGES = 64
-RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "title", "object", "math", "canvas"}
-NOISE = RAW | {"head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "audio", "video"}
+RAW = {"script", "style", "noscript", "template", "iframe", "svg", "textarea", "select", "title", "object", "canvas"}
+#: Of these, elements that a slash before the > ends.
+FOREIGN = {"svg", "object", "iframe"}
+RAW_ENDS = {name: re.compile(rf"</{name}\s*(?:>|\Z)", re.I) for name in RAW}
+NOISE = RAW | {"annotation", "annotation-xml", "head", "nav", "footer", "aside", "form", "button", "dialog", "menu", "fieldset", "label", "audio", "video"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-INLINE = set("a abbr b bdi bdo big br cite code data dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del".split())
+INLINE = set(
+    "a abbr b bdi bdo big br cite code data dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr del "
+    "math semantics mfrac mi mn mo mover mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover".split()
+)
 NOISE_WORDS = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus "
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related "
@@ -34,30 +40,31 @@ NOISE_WORDS = set(
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
-    r"|<(script|style|noscript|template|iframe|svg|textarea|select|title|object|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 WORDS = re.compile(r"[a-z0-9]+")
 
 
-def _is_noise(name: str, attributes: str, in_article: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Values by name, both in small letters; of equal names the first counts."""
+    found: dict[str, str] = {}
+    for name, value in ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), value.strip("\"'").lower())
+    return found
+
+
+def _is_noise(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     if name in NOISE or (name == "header" and not in_article):
         return True
-    if not attributes or name in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if name in ("html", "body", "article", "main") and not any("comment" in attributes.get(what, "") for what in ("class", "id")):
         return False
-    for what, value in NAMES.findall(attributes):
-        what, value = what.lower(), value.strip("\"'").lower()
-        if what == "hidden" or (what == "aria-hidden" and value == "true"):
-            return True
-        if what == "role" and value in NOISE_ROLES:
-            return True
-        if what in ("class", "id") and not NOISE_WORDS.isdisjoint(WORDS.findall(value)):
-            return True
-    return False
+    if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in NOISE_ROLES:
+        return True
+    return any(not NOISE_WORDS.isdisjoint(WORDS.findall(attributes.get(what, ""))) for what in ("class", "id"))
 
 
 def page_blocks(page: str) -> list[str]:
@@ -67,6 +74,7 @@ def page_blocks(page: str) -> list[str]:
     pending: list[str] = []
     skipped = articles = mains = 0
     at = 0
+    endless: set[str] = set()  # raw elements that no end tag follows any more
 
     def flush() -> None:
         if pending:
@@ -75,19 +83,28 @@ def page_blocks(page: str) -> list[str]:
             if block:
                 whole.append((block, articles > 0, mains > 0))
 
-    for tag in TAG.finditer(page):
+    while tag := TAG.search(page, at):
         if not skipped and tag.start() > at:
             pending.append(page[at : tag.start()])
         at = tag.end()
-        name = tag[3]
+        name = tag[2]
         if name is None:
             continue
         name = name.lower()
+        if name in RAW:  # goes up to its end tag, or is empty without one
+            empty = name in endless or (name in FOREIGN and tag[3].rstrip().endswith("/"))
+            if not tag[1] and not empty:
+                end = RAW_ENDS[name].search(page, at)
+                if end:
+                    at = end.end()
+                else:
+                    endless.add(name)
+            continue
         if name not in INLINE:
             flush()
         elif name == "br":
             pending.append(" ")
-        if tag[2]:
+        if tag[1]:
             depth = next((n for n in range(len(stack) - 1, -1, -1) if stack[n][0] == name), None)
             if depth is None:
                 continue
@@ -99,13 +116,14 @@ def page_blocks(page: str) -> list[str]:
                 articles -= entry[2] == "article"
                 mains -= entry[2] == "main"
             del stack[depth:]
-        elif name not in VOID and not tag[4].rstrip().endswith("/"):
+        elif name not in VOID and not tag[3].rstrip().endswith("/"):
             if name in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and stack and stack[-1][0] == name:
                 skipped -= stack.pop()[1]
-            noise = _is_noise(name, tag[4], articles > 0)
+            attributes = _attributes(tag[3])
+            noise = _is_noise(name, attributes, articles > 0)
             if noise:
                 flush()
-            kind = "" if noise else "article" if name == "article" else "main" if name == "main" or "role=\"main\"" in tag[4] else ""
+            kind = "" if noise else "article" if name == "article" else "main" if name == "main" or attributes.get("role") == "main" else ""
             stack.append((name, noise, kind))
             skipped += noise
             articles += kind == "article"

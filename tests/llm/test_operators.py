@@ -315,6 +315,14 @@ def test_page_blocks():
     assert html_text.page_blocks("<main><form>F</form><p>x</p></main><p>y</p>") == ["x"]
 
 
+def test_attributes_and_raw_elements():
+    page = (
+        "<div style=\"overflow:hidden\" title='the hidden room'><p data-id=\"comments\">See <a href=\"/hidden-valley\">the valley</a> of x<math><mi>y</mi><mo/></math></p>"
+        "<svg viewBox='0 > 1'/><object data=a /><iframe src=b/><p>on</p><div HIDDEN>h</div><p Class = 'x-ad'>b</p><svg><text>s</text></svg><iframe src=c><p>and on</p></div>"
+    )
+    assert html_text.page_blocks(page) == ["See the valley of xy", "on", "and on"]
+
+
 def test_host_boilerplate_goes_and_copies_stay(spark):
     note = "Please subscribe to our weekly letter for more stories like this one today"
     own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(8)]
