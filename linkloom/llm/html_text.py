@@ -1,11 +1,11 @@
-"""Main text of web pages: structure first, then a suffix array over each host's pages.
+"""Main text of web pages: structure first, then the strings that a host's pages share.
 
 Elements that never hold the article are left out by name, role or class. The blocks that remain of a
-host's pages are concatenated to one token stream with a separator of its own after each page; its
-suffixes are sorted by prefix doubling up to ``run`` tokens. Suffixes of equal rank start the same
-string; if it occurs on a good share of the pages, what it covers is boilerplate, and blocks covered
-from end to end go. A page of which nearly all is covered is a copy of others and stays whole. Hosts
-are dealt out in shards of bounded size.
+page are concatenated to one token stream, and each place of it gets the hash of the ``run`` tokens from
+there on. A string that a good share of a host's pages hold is boilerplate: the tokens that it covers
+go, and the unique runs of their blocks stay. Blocks that shorter common strings cover from end to end, and
+short blocks common as they are, go as well. A page of which more than half is covered is a copy of
+others and stays whole. Hosts are dealt out in shards of bounded size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,6 +48,7 @@ TAG = re.compile(
 )
 ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*))?")
 WORDS = re.compile(r"[a-z0-9]+")
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -137,60 +139,76 @@ def page_blocks(page: str) -> list[str]:
     return [entry[0] for entry in whole]
 
 
-def repeated_starts(stream: np.ndarray, pages: np.ndarray, run: int, needed: int) -> np.ndarray:
-    """Whether each position starts a ``run``-token string that at least ``needed`` pages hold.
+def page_strings(blocks: list[str], run: int) -> tuple[np.ndarray, list[int]]:
+    """64-bit hashes of a page's strings, and how many there are of each kind.
 
-    ``stream`` ends each page by a token that occurs once, so no string crosses pages.
+    First come the strings of 4 tokens (``run`` if less) and of ``run`` tokens at each place of the page's
+    token stream, which runs on over the blocks; then each block too short for those, by itself.
     """
-    rank = np.unique(stream, return_inverse=True)[1].astype(np.int64)
-    length = 1
-    while length < run:
-        step = min(length, run - length)
-        after = np.full(len(rank), -1, dtype=np.int64)
-        after[:-step] = rank[step:]
-        rank = np.unique(rank * (len(rank) + 2) + after + 1, return_inverse=True)[1].astype(np.int64)
-        length += step
-    different = np.unique(rank * (int(pages.max()) + 1) + pages)
-    holders = np.bincount(different // (int(pages.max()) + 1), minlength=int(rank.max()) + 1)
-    return holders[rank] >= needed
+    short = min(run, 4)
+    words = [block.split() for block in blocks]
+    tokens = np.array([xxhash.xxh64_intdigest(word) for block in words for word in block], dtype=np.uint64)
+    kinds = []
+    for length in (short, run):
+        values = np.zeros(max(0, len(tokens) - length + 1), dtype=np.uint64)
+        for n in range(length if len(values) else 0):
+            values = values * _BASE + tokens[n : len(values) + n]
+        values = (values ^ (values >> np.uint64(32))) * (_BASE + np.uint64(2 * length))
+        kinds.append(values ^ (values >> np.uint64(29)))
+    kinds.append(np.array([xxhash.xxh64_intdigest(" ".join(block), 1) for block in words if len(block) < short], dtype=np.uint64))
+    return np.concatenate(kinds).view(np.int64), [len(kind) for kind in kinds]
+
+
+def strings_on_pages(pages: list[np.ndarray], needed: int) -> np.ndarray:
+    """Those strings that at least ``needed`` of the pages hold."""
+    if len(pages) < needed:
+        return np.array([], dtype=np.int64)
+    values, counts = np.unique(np.concatenate([np.unique(page) for page in pages]), return_counts=True)
+    return values[counts >= needed]
+
+
+def without_strings(blocks: list[str], strings: np.ndarray, kinds: list[int], common: np.ndarray, run: int, copied: float) -> list[str]:
+    """A page without what its common strings cover.
+
+    Runs of ``run`` tokens go wherever they are, and the rest of their blocks stays. Blocks that shorter
+    strings cover from end to end go as well, as do short blocks that are common as they are.
+    """
+    short = min(run, 4)
+    known = np.isin(strings, common)
+    if not known.any():
+        return blocks
+    words = [block.split() for block in blocks]
+    size = sum(map(len, words))
+    masks, at = [], 0
+    for length, count in zip((short, run), kinds, strict=False):
+        edges = np.zeros(size + 1, dtype=np.int64)
+        starts = np.flatnonzero(known[at : at + count])
+        np.add.at(edges, starts, 1)
+        np.add.at(edges, starts + length, -1)
+        masks.append(np.cumsum(edges[:-1]) > 0)
+        at += count
+    runs, either = masks[1], masks[0] | masks[1]
+    alone = iter(known[at:].tolist())
+    kept, gone, at = [], 0, 0
+    for block, own in zip(blocks, words, strict=True):
+        part = slice(at, at + len(own))
+        at += len(own)
+        whole = len(own) < short and next(alone)
+        if whole or either[part].all():
+            gone += len(own)
+        elif runs[part].any():
+            gone += int(runs[part].sum())
+            kept.append(" ".join(word for word, out in zip(own, runs[part].tolist(), strict=True) if not out))
+        else:
+            kept.append(block)
+    return blocks if gone > copied * size else kept
 
 
 def without_boilerplate(blocks: list[list[str]], run: int, share: float, copied: float, least: int) -> list[list[str]]:
-    """The blocks of each page of a host that aren't boilerplate."""
-    words = [[block.split() for block in page] for page in blocks]
-    short = min(run, 4)
-    needed = max(least, int(np.ceil(share * len(blocks))))
-    if len(blocks) < needed:
-        return blocks
-    known: dict[str, int] = {}
-    stream: list[int] = []
-    owner: list[int] = []
-    for number, page in enumerate(words):
-        for block in page:
-            stream += [known.setdefault(word, len(known)) for word in block]
-            stream.append(-2 - len(stream))  # blocks are compared by themselves
-        owner += [number] * (len(stream) - len(owner))
-    if not stream:
-        return blocks
-    tokens, pages = np.array(stream, dtype=np.int64), np.array(owner, dtype=np.int64)
-    covered = np.zeros(len(tokens) + run, dtype=np.int64)
-    for length in {short, run}:
-        starts = np.flatnonzero(repeated_starts(tokens, pages, length, needed))
-        np.add.at(covered, starts, 1)
-        np.add.at(covered, starts + length, -1)
-    covered = np.cumsum(covered)[: len(tokens)] > 0
-    out, at = [], 0
-    for page_blocks_, page in zip(blocks, words, strict=True):
-        gone, tokens_gone, total = [], 0, 0
-        for block in page:
-            full = bool(len(block)) and bool(covered[at : at + len(block)].all())
-            gone.append(full)
-            tokens_gone += len(block) * full
-            total += len(block)
-            at += len(block) + 1
-        copy = tokens_gone > copied * total
-        out.append(page_blocks_ if copy else [b for b, g in zip(page_blocks_, gone, strict=True) if not g])
-    return out
+    """The blocks of each page of a host, without boilerplate."""
+    strings = [page_strings(page, run) for page in blocks]
+    common = strings_on_pages([values for values, _ in strings], max(least, int(np.ceil(share * len(blocks)))))
+    return [without_strings(page, *found, common, run, copied) for page, found in zip(blocks, strings, strict=True)]
 
 
 def main_text(

@@ -333,6 +333,14 @@ def test_host_boilerplate_goes_and_copies_stay(spark):
     assert all(got[20 + i]["text"] == own[0] for i in range(5)) and got[30]["text"] == "" and got[31]["n_chars"] == 0
 
 
+def test_repeated_runs_go_and_unique_ones_stay():
+    line = "This page was last edited by our team of local writers on"
+    own = [[" ".join(f"w{i}x{j}x{k}" for k in range(30)) for j in range(2)] for i in range(6)]
+    pages = [[a, "Read more", "Share this", "one two three four", "five six seven eight", f"{line} d{i} May", b, "All rights reserved"] for i, (a, b) in enumerate(own)]
+    got = html_text.without_boilerplate(pages, 8, 0.5, 0.5, 3)
+    assert got == [[a, f"d{i} May", b] for i, (a, b) in enumerate(own)]
+
+
 def test_quality(docs):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert len(got) == len(TEXTS) + 1
