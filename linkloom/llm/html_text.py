@@ -5,7 +5,11 @@ page are concatenated to one token stream, and each place of it gets the hash of
 there on. A string that a good share of a host's pages hold is boilerplate: the tokens that it covers
 go, and the unique runs of their blocks stay. Blocks that shorter common strings cover from end to end, and
 short blocks common as they are, go as well. A page of which more than half is covered is a copy of
-others and stays whole. Hosts are dealt out in shards of bounded size.
+others and stays whole.
+
+Pages are counted over the whole host. A host of more than SHARD_PAGES pages is dealt out in shards: what the
+share of its pages hold, the same share of a shard's pages hold in one shard at least. So each shard
+names what is common in it, and only those strings are counted again, by all pages of the host.
 """
 
 from __future__ import annotations
@@ -204,10 +208,14 @@ def without_strings(blocks: list[str], strings: np.ndarray, kinds: list[int], co
     return blocks if gone > copied * size else kept
 
 
+def _share_of(pages: int, share: float) -> int:
+    return int(np.ceil(share * pages - 1e-9))
+
+
 def without_boilerplate(blocks: list[list[str]], run: int, share: float, copied: float, least: int) -> list[list[str]]:
     """The blocks of each page of a host, without boilerplate."""
     strings = [page_strings(page, run) for page in blocks]
-    common = strings_on_pages([values for values, _ in strings], max(least, int(np.ceil(share * len(blocks)))))
+    common = strings_on_pages([values for values, _ in strings], max(least, _share_of(len(blocks), share)))
     return [without_strings(page, *found, common, run, copied) for page, found in zip(blocks, strings, strict=True)]
 
 
@@ -224,7 +232,7 @@ def main_text(
     """key, url, text and n_chars (code points), a row per row of ``pages``.
 
     Null or empty html, and pages of nothing but boilerplate markup, give empty text. Pages without a
-    host in their url are one host. Repeated rows are pages of their own. A host of fewer than ``least``
+    host in their url are one host, of any number of pages. Repeated rows are pages of their own. A host of fewer than ``least``
     pages keeps every block. An empty table gives an empty table.
     """
     host = F.lower(F.coalesce(F.regexp_extract(F.col(url), r"^\s*(?:[A-Za-z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
@@ -241,13 +249,49 @@ def main_text(
     sharded = named.join(sizes, F.col("_host") == F.col("_h")).withColumn(
         "_shard", F.pmod(draw, F.ceil(F.col("_pages") / F.lit(SHARD_PAGES)).cast("long"))
     )
-    parsed = sharded.select("_key", "_url", "_host", "_shard", "_body").mapInPandas(
-        parse, "_key long, _url string, _host string, _shard long, _blocks array<string>"
+    parsed = sharded.select("_key", "_url", "_host", "_shard", "_pages", "_body").mapInPandas(
+        parse, "_key long, _url string, _host string, _shard long, _pages long, _blocks array<string>"
     )
 
-    def clean(group: pd.DataFrame) -> pd.DataFrame:
-        kept = without_boilerplate([list(b) for b in group["_blocks"]], run, share, copied, least)
-        return pd.DataFrame({"_key": group["_key"], "_url": group["_url"], "_text": ["\n\n".join(b) for b in kept]})
+    def judge(group: pd.DataFrame) -> pd.DataFrame:
+        """Texts of a host that is one shard; of another's the blocks, and in the first row what is common in this shard."""
+        blocks, total = [list(b) for b in group["_blocks"]], int(group["_pages"].iloc[0])
+        made = group[["_key", "_url", "_host", "_pages"]].assign(_text=None, _found=None)
+        if total <= SHARD_PAGES:
+            kept = without_boilerplate(blocks, run, share, copied, least)
+            return made.assign(_text=["\n\n".join(b) for b in kept], _blocks=None)
+        common = strings_on_pages([page_strings(page, run)[0] for page in blocks], max(1, _share_of(len(blocks), share)))
+        return made.assign(_blocks=blocks, _found=[common.tolist() if n == 0 and len(common) else None for n in range(len(blocks))])
+
+    schema = "_key long, _url string, _host string, _pages long, _text string, _blocks array<string>, _found array<long>"
+    judged = materialize(parsed.groupBy("_host", "_shard").applyInPandas(lambda g: judge(g)[[c.split()[0] for c in schema.split(", ")]], schema), "html-shards")
+    named_strings = judged.where("_found is not null").select(F.col("_host").alias("_h"), F.explode("_found").alias("_string"))
+    asked = materialize(named_strings.groupBy("_h").agg(F.collect_set("_string").alias("_asked")), "html-asked")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for (name, total), group in batch.groupby(["_host", "_pages"]):
+                strings = np.sort(np.asarray(group["_asked"].iloc[0], dtype=np.int64))
+                holders = np.zeros(len(strings), dtype=np.int64)
+                for page in group["_blocks"]:
+                    holders += np.isin(strings, page_strings(list(page), run)[0])
+                yield pd.DataFrame({"_h": name, "_total": total, "_string": strings, "_n": holders})
+
+    pages_asked = judged.where("_blocks is not null").join(asked, F.col("_host") == F.col("_h")).select("_host", "_pages", "_blocks", "_asked")
+    counts = pages_asked.mapInPandas(count, "_h string, _total long, _string long, _n long").groupBy("_h", "_total", "_string").agg(F.sum("_n").alias("_n"))
+    needed = F.greatest(F.lit(least), F.ceil(F.lit(float(share)) * F.col("_total") - F.lit(1e-9)))
+    common = materialize(counts.where(F.col("_n") >= needed).groupBy("_h").agg(F.collect_list("_string").alias("_common")), "html-common")
+
+    def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            texts = []
+            for blocks, strings in zip(batch["_blocks"], batch["_common"], strict=True):
+                page = list(blocks)
+                kept = without_strings(page, *page_strings(page, run), np.asarray(strings, dtype=np.int64), run, copied)
+                texts.append("\n\n".join(kept))
+            yield pd.DataFrame({"_key": batch["_key"], "_url": batch["_url"], "_text": texts})
 
-    made = parsed.groupBy("_host", "_shard").applyInPandas(clean, "_key long, _url string, _text string")
+    joined = judged.join(common, F.col("_host") == F.col("_h"), "left")
+    plain = joined.where("_common is null").select("_key", "_url", F.coalesce("_text", F.array_join("_blocks", "\n\n")).alias("_text"))
+    made = plain.unionByName(joined.where("_common is not null").select("_key", "_url", "_blocks", "_common").mapInPandas(clean, "_key long, _url string, _text string"))
     return made.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))

@@ -341,6 +341,16 @@ def test_repeated_runs_go_and_unique_ones_stay():
     assert got == [[a, f"d{i} May", b] for i, (a, b) in enumerate(own)]
 
 
+def test_large_host_is_judged_as_a_whole(spark):
+    often = "the letter of the day comes to you by mail each morning at six"
+    seldom = "a special offer for all the readers of this section ends this week"
+    own = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(300)]
+    notes = [[often] * (i < 150) + [seldom] * (i >= 151) for i in range(300)]  # on exactly half of the pages and on one less
+    pages = [(i, f"https://a.example/{i}", "".join(f"<p>{x}</p>" for x in [own[i], *notes[i]])) for i in range(300)]
+    got = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == {i: "\n\n".join([own[i], *[n for n in notes[i] if n == seldom]]) for i in range(300)}
+
+
 def test_quality(docs):
     got = {r["doc_id"]: r for r in quality.judge(docs).collect()}
     assert len(got) == len(TEXTS) + 1
