@@ -143,6 +143,11 @@ def top_pages(metrics: DataFrame, n: int = 25) -> DataFrame:
     return metrics.orderBy(F.desc("pri_score"), "page_id").limit(n)
 
 
+def selected_page(metrics: DataFrame, page_id: int | Column) -> DataFrame:
+    """The row of one page; none if the selection lacks it."""
+    return metrics.where(F.col("page_id") == page_id)
+
+
 def url_explorer(metrics: DataFrame, n: int = 1000) -> DataFrame:
     return top_pages(metrics, n).select(*[c for c in EXPLORER_COLUMNS if c in metrics.columns])
 

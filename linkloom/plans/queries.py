@@ -943,6 +943,27 @@ add(
 UNION ALL SELECT 'pri_scores', count(*) FROM scores UNION ALL SELECT 'url_metrics', count(*) FROM plain""",
     "pg", "edges", "scores", "plain",
 )
+add(
+    "report_export_counts",
+    lambda s: rp.report_table_counts({name: _report_workspace(s).read(name) for name in [*ws.REQUIRED_TABLES, *ws.OPTIONAL_TABLES, *ws.SCENARIO_TABLES]}),
+    """SELECT 'pages' AS "table", count(*) AS row_count FROM pg UNION ALL SELECT 'edges', count(*) FROM edges
+UNION ALL SELECT 'pri_scores', count(*) FROM scores UNION ALL SELECT 'anchor_candidates', count(*) FROM cands
+UNION ALL SELECT 'page_segments', count(*) FROM seg UNION ALL SELECT 'url_metrics', count(*) FROM plain
+UNION ALL SELECT 'segment_metrics', count(*) FROM segm UNION ALL SELECT 'scenario_edges', count(*) FROM scen_edges
+UNION ALL SELECT 'scenario_pri', count(*) FROM scen_scores UNION ALL SELECT 'scenario_comparison', count(*) FROM cmp""",
+    "pg", "edges", "scores", "cands", "seg", "plain", "segm", "scen_edges", "scen_scores", "cmp",
+)
+add("report_kpis_json", lambda s: rp.kpis_as_json(rp.report_kpis(s.pages, s.edges, s.scores, s.candidates)), None)
+BEST = "page_id, path, pri_score, rank, cheirank_score, cheirank_rank"
+add(
+    "filtered_top_pages", lambda s: se.top_pages(selected(s), 20).select(*BEST.split(", ")), f"SELECT {BEST} FROM ({SELECTED}) ORDER BY pri_score DESC, page_id LIMIT 20",
+    *SELECTED_NEEDS, d="pri_score cheirank_score",
+)
+# the selected page is the selection's first one here
+add(
+    "filtered_page", lambda s: se.selected_page(selected(s), selected(s).agg(F.min("page_id")).scalar()),
+    f"WITH f AS ({SELECTED}) SELECT * FROM f WHERE page_id = (SELECT min(page_id) FROM f)", *SELECTED_NEEDS, d=UM_D,
+)
 
 
 def callable_for(key: str) -> Callable[[SparkSession, str], DataFrame]:

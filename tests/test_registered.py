@@ -35,6 +35,16 @@ def test_every_sql_form_has_a_query():
     assert set(registered.oracle_sql()) <= set(registered.queries())
 
 
+def test_kpis_are_one_json_row(spark):
+    rows = registered.queries()["report_kpis_json"](spark, FOLDER).collect()
+    assert len(rows) == 1 and "anchor_candidate_count" in rows[0]["kpis"]
+
+
+@pytest.mark.parametrize("key", ["report_export_counts", "filtered_top_pages", "filtered_page"])
+def test_report_part(spark, key):
+    test_query(spark, key)
+
+
 @pytest.mark.parametrize("key", SOME)
 def test_query(spark, key):
     database = duckdb.connect()
