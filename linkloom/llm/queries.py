@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from linkloom.llm import embedding_dedup, html_text, language_id, line_dedup, mixing, packing, pii, quality, simhash, suffix_dedup
+from linkloom.llm import embedding_dedup, html_text, language_id, line_dedup, merkle, mixing, packing, pii, quality, quality_votes, simhash, suffix_dedup, whitening
 from linkloom.llm.common import table, word_count
 
 TOKENIZER = "word_bpe_49k.json"
@@ -72,6 +72,33 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("_fp", "_root")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    text = F.col("text")
+    fields = [F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars")]
+    altered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) == 0  # null: not altered
+    tampered = F.when(altered, merkle.leaf_digest(*fields, merkle.lower_ascii(text)))
+    made = merkle.manifest(
+        docs, F.col("lang"), F.col("doc_id"), merkle.leaf_digest(*fields, text), {"doc_id": F.col("doc_id"), "tampered": tampered}
+    )
+    root = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    return made.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), root.alias("folded_root")
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = quality_votes.held_out(F.col("doc_id"), 4, 2)
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(~held_out)
+    made = quality_votes.vote(docs, quality_votes.fit(docs, labels), "text", threshold=0.7)
+    return made.select("row.doc_id", "score", "predicted").withColumn("held_out", held_out)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,6 +118,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_line_dedup,
         op9_quality,
         op10_simhash,
+        op11_merkle,
+        op12_whitening,
+        op13_quality_votes,
         pipeline,
     )
 }
@@ -186,4 +216,66 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1
 FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
 """
 
-LLM_SQL: dict[str, str] = {"op1_mixing": _MIXING, "op8_line_dedup": _LINES, "op9_quality": _QUALITY}
+
+def _merkle_sql(leaf_levels: int = 12, tree_levels: int = 6) -> str:
+    """Levels one by one: a tree of one node is passed on as it is. Holds for 8^12 rows a language, 8^6 languages."""
+    upper, lower = merkle.UPPER, merkle.LOWER
+    value = lambda text: f"coalesce(strlen({text})::VARCHAR || ':' || {text}, '-')"
+    fields = " || ".join(value(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars"))
+
+    def levels(name: str, bottom: str, count: int) -> str:
+        steps = [f"{name}_0 AS MATERIALIZED ({bottom})"]
+        for k in range(1, count + 1):
+            steps.append(
+                f"{name}_{k} AS MATERIALIZED (SELECT tree, place // 8 AS place, (max(size) + 7) // 8 AS size,"
+                f" CASE WHEN max(size) = 1 THEN max(h) ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h"
+                f" FROM {name}_{k - 1} GROUP BY tree, place // 8)"
+            )
+        for k in range(count):
+            own = "OVER (PARTITION BY tree, place // 8 ORDER BY place ROWS BETWEEN"
+            steps.append(
+                f"{name}_way_{k} AS MATERIALIZED (SELECT tree AS t, place AS p, size > 1 AS up,"
+                f" coalesce(string_agg(h, '') {own} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,"
+                f" coalesce(string_agg(h, '') {own} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name}_{k})"
+            )
+        return ",\n".join(steps)
+
+    def climb(name: str, source: str, count: int, tree: str, place: str) -> str:
+        steps = []
+        for k in range(count):
+            before = source if k == 0 else f"{name}_climb_{k - 1}"
+            steps.append(
+                f"{name}_climb_{k} AS (SELECT b.* REPLACE (CASE WHEN up THEN sha256(l || b.fold || r) ELSE b.fold END AS fold,"
+                f" b.proof || CASE WHEN up THEN l || r ELSE '' END AS proof)"
+                f" FROM {before} b JOIN {name}_way_{k} ON t = b.{tree} AND p = b.{place} // {8**k})"
+            )
+        return ",\n".join(steps)
+
+    return f"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY n) AS crc FROM (
+    SELECT n, list_reduce([n::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+                          lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c
+    FROM (SELECT unnest(range(256)) AS n))),
+leaves AS (
+  SELECT doc_id, lang, sha256({fields} || {value("text")}) AS leaf,
+         sha256({fields} || {value(f"translate(text, '{upper}', '{lower}')")}) AS altered,
+         xor(list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                         lambda c, d: xor(c // 256, crc[xor(c, d) % 256 + 1])), 4294967295) AS checksum
+  FROM documents, crc_table),
+placed AS MATERIALIZED (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree,
+         row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS place, count(*) OVER (PARTITION BY lang) AS size,
+         CASE WHEN checksum % 3 = 0 THEN altered ELSE leaf END AS fold, '' AS proof
+  FROM leaves),
+{levels("leaf", "SELECT tree, place, size, leaf AS h FROM placed", leaf_levels)},
+{levels("tree", f"SELECT 0 AS tree, tree AS place, count(*) OVER () AS size, h FROM leaf_{leaf_levels}", tree_levels)},
+{climb("leaf", "placed", leaf_levels, "tree", "place")},
+langs AS (SELECT *, 0 AS one FROM leaf_climb_{leaf_levels - 1}),
+{climb("tree", "langs", tree_levels, "one", "tree")}
+SELECT doc_id, leaf, s.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root.h AS verified
+FROM tree_climb_{tree_levels - 1} d JOIN leaf_{leaf_levels} s ON s.tree = d.tree, tree_{tree_levels} root
+"""
+
+
+LLM_SQL: dict[str, str] = {"op1_mixing": _MIXING, "op8_line_dedup": _LINES, "op9_quality": _QUALITY, "op11_merkle": _merkle_sql()}
