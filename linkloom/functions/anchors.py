@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import null_if_empty, or_empty, strip_space, title_case
+from linkloom.functions.text import is_plain, null_if_empty, or_empty, strip_space, title_case
 
 # Anchor kinds, phrases that say nothing about their target, default texts.
 ANCHOR_TYPES = ["exact", "partial", "contextual", "generic"]
@@ -41,8 +41,13 @@ def coalesce_anchor_text(anchor: Column, alt: Column, target_path: Column) -> Co
 
 
 def anchor_lexical_normal(anchor: Column) -> Column:
-    words = F.regexp_replace(F.lower(or_empty(anchor)), r"[^\p{L}\p{N}]+", " ")
-    return F.trim(words)
+    return lexical_of(F.lower(or_empty(anchor)))
+
+
+def lexical_of(text: Column) -> Column:
+    """Lexical normal form of a text in lower case."""
+    words = F.trim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    return F.when(is_plain(text), text).otherwise(words)
 
 
 def classify_anchor(anchor: Column, label: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import or_empty, strip_space
+from linkloom.functions.text import is_plain, or_empty, strip_space
 
 # Accepted spellings of "true" and the base weight of each link position.
 TRUE_WORDS = ["true", "1", "yes", "y"]
@@ -32,9 +32,13 @@ def parse_boolean(text: Column) -> Column:
 
 
 def normalize_block_type(position: Column) -> Column:
-    slug = F.regexp_replace(F.lower(strip_space(or_empty(position))), r"[^a-z0-9]+", "_")
-    slug = F.trim(slug, F.lit("_"))
-    return F.when(slug == "", F.lit("unknown")).otherwise(slug)
+    return block_type_of(F.lower(strip_space(or_empty(position))))
+
+
+def block_type_of(position: Column) -> Column:
+    """Block type of a position that is stripped and in lower case."""
+    slug = F.trim(F.regexp_replace(position, r"[^a-z0-9]+", "_"), F.lit("_"))
+    return F.when(position == "", F.lit("unknown")).when(is_plain(position), F.translate(position, " ", "_")).when(slug == "", F.lit("unknown")).otherwise(slug)
 
 
 def block_rule_weight(block_type: Column) -> Column:

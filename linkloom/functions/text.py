@@ -21,6 +21,15 @@ def strip_space(text: Column) -> Column:
     return F.when(needed, F.trim(text, F.lit(WHITE_SPACE))).otherwise(text)
 
 
+def is_plain(text: Column) -> Column:
+    """Whether a text in lower case holds only ASCII letters, digits and single blanks, none of them at an end.
+
+    Such texts are their own normal form, so regular expressions are left to the others.
+    """
+    simple = (F.translate(text, "abcdefghijklmnopqrstuvwxyz0123456789 ", "") == "") & ~text.contains("  ")
+    return simple & ~text.startswith(" ") & ~text.endswith(" ")
+
+
 def or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 

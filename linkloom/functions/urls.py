@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from linkloom.functions.text import null_if_empty, or_empty, strip_space
+from linkloom.functions.text import MAX_TEXT, null_if_empty, or_empty, strip_space
 
 ROOT = "/"
 
@@ -30,6 +30,39 @@ def url_path(url: Column) -> Column:
     return F.greatest(F.rtrim(single, F.lit(ROOT)), F.lit(ROOT))
 
 
+def after_scheme(url: Column) -> Column:
+    """What follows ``http://`` or ``https://`` up to a query or fragment; null for other URLs or without a host.
+
+    With ``authority``, ``host_of`` and ``path_of`` the same as ``url_host`` and ``url_path``, by plain string functions, for
+    stripped URLs in columns of their own: a step each, so that no expression is repeated within another.
+    """
+    https = F.lower(F.substring(url, 1, 8)) == "https://"
+    http = F.lower(F.substring(url, 1, 7)) == "http://"
+    rest = F.when(https, F.substring(url, 9, MAX_TEXT)).when(http, F.substring(url, 8, MAX_TEXT))
+    return F.substring_index(F.substring_index(rest, "?", 1), "#", 1)
+
+
+def authority(rest: Column) -> Column:
+    """Host and ``www.`` of what follows the scheme; null if there is none."""
+    host = F.substring_index(F.substring_index(rest, ROOT, 1), ":", 1)
+    return null_if_empty(host)
+
+
+def host_of(authority: Column) -> Column:
+    host = F.lower(authority)
+    return F.when(host.startswith("www."), F.substring(host, 5, MAX_TEXT)).otherwise(host)
+
+
+def path_of(rest: Column, authority: Column) -> Column:
+    """The rest behind the host, with single slashes and without one at its end."""
+    tail = F.substring(rest, F.length(authority) + 1, F.lit(MAX_TEXT))
+    return F.when(tail.contains("//"), F.regexp_replace(tail, r"/{2,}", "/")).otherwise(or_empty(tail))
+
+
+def or_root(path: Column) -> Column:
+    return F.greatest(F.when(path.endswith(ROOT), F.rtrim(path, F.lit(ROOT))).otherwise(path), F.lit(ROOT))
+
+
 def _pieces(path: Column) -> Column:
     return F.split(F.regexp_replace(path, r"^/", ""), "/", -1)
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import expand_templates
 from linkloom.functions.urls import block_category
-from linkloom.operators.rule_edges import cluster_peer, hierarchy_down, hierarchy_up, parent_child_pairs
+from linkloom.operators.rule_edges import cluster_peer, hierarchy_down, hierarchy_up, parent_child_pairs, peer_lists
 from linkloom.schemas import EDGES, conform
+from linkloom.storage import cut_lineage
 
 # Path mark of a region page, and the templates a footer links to.
 REGION_MARK = "/rp_"
@@ -89,19 +93,19 @@ def _region_page() -> Column:
 
 
 def block_top_facets(pages: DataFrame, block: Block) -> DataFrame:
-    return category_links(pages, "seo_top_filters", block, F.col("template").isin(FACET_TEMPLATES))
+    return category_links(pages, "seo_top_filters", block, TARGET_PAGES["seo_top_filters"]())
 
 
 def block_top_searches(pages: DataFrame, block: Block) -> DataFrame:
-    return category_links(pages, "top_searches", block, F.col("template") == "ck")
+    return category_links(pages, "top_searches", block, TARGET_PAGES["top_searches"]())
 
 
 def block_top_locations(pages: DataFrame, block: Block) -> DataFrame:
-    return category_links(pages, "top_locations", block, _region_page())
+    return category_links(pages, "top_locations", block, TARGET_PAGES["top_locations"]())
 
 
 def block_cross_links(pages: DataFrame, block: Block) -> DataFrame:
-    return category_links(pages, "box_top_filters", block, _region_page())
+    return category_links(pages, "box_top_filters", block, TARGET_PAGES["box_top_filters"]())
 
 
 def block_footer(pages: DataFrame, block: Block) -> DataFrame:
@@ -129,6 +133,13 @@ def block_hierarchy(pages: DataFrame, weight_up: float | None = 1.0, weight_down
     return hierarchy_up(pairs, weight_up).unionByName(hierarchy_down(pairs, weight_down))
 
 
+# Blocks whose targets are the first pages of a kind in the source's category.
+TARGET_PAGES: dict[str, Callable[[], Column]] = {
+    "seo_top_filters": lambda: F.col("template").isin(FACET_TEMPLATES),
+    "top_searches": lambda: F.col("template") == "ck",
+    "top_locations": _region_page,
+    "box_top_filters": _region_page,
+}
 # Block names as configured, and the operator behind each.
 BLOCK_BUILDERS = {
     "breadcrumb": block_breadcrumb,
@@ -178,7 +189,114 @@ def block_dedup_cap(links: DataFrame, max_out_links_per_page: int = 120) -> Data
 
 
 def build_block_edges(pages: DataFrame, options: BlockOptions) -> DataFrame:
-    return block_dedup_cap(all_block_links(pages, options), options.max_out_links_per_page)
+    """All enabled blocks and rules, merged and capped."""
+    if options.max_out_links_per_page <= 0:  # a page may keep any number of links, so these can't be lists
+        return block_dedup_cap(all_block_links(pages, options), 0)
+    return _capped_in_place(pages, options)
+
+
+def _enabled(options: BlockOptions) -> dict[str, Block]:
+    """Everything that makes links, as blocks, in the order of ``min_by(block_type, (-weight, block_type))``."""
+    found = {name: options.blocks[name] for name in BLOCK_BUILDERS if name in options.blocks and options.blocks[name].enabled}
+    if options.enable_hierarchy_up:
+        found["hierarchy_up"] = Block(options.weight_hierarchy_up, 1, [])
+    if options.enable_hierarchy_down:
+        found["hierarchy_down"] = Block(options.weight_hierarchy_down, 0, [])
+    if options.enable_cluster_peer and options.cluster_peer_k > 0:
+        found["cluster_peer"] = Block(options.weight_cluster_peer, options.cluster_peer_k, [])
+    return dict(sorted(found.items(), key=lambda item: (-np.float32(item[1].weight), item[0])))
+
+
+def _links_to(number: int, targets: Column) -> Column:
+    """Array of (block number, target) from an array of target ids."""
+    return F.transform(targets, lambda t: F.struct(F.lit(number).cast("byte").alias("block"), t.alias("target_id")))
+
+
+def _capped_in_place(pages: DataFrame, options: BlockOptions) -> DataFrame:
+    """Edges of all blocks from one row per source page that holds its targets as short lists.
+
+    Pages are laid out by id once. A list is as long as its block's limit; the footer is a constant, category lists come a
+    row a category. Links are made, merged by target and capped without leaving the page's task. Of a page's children only
+    the first ones by id can be kept for being children alone, as these weigh the same: as many as the cap and all lists
+    together. Whether another target is a child too is told by its parent, which the lists carry.
+    """
+    blocks = _enabled(options)
+    number = {name: place for place, name in enumerate(blocks)}
+    parents = pages.select(F.col("path").alias("parent_path"), F.col("page_id").alias("parent_id"), F.col("parent_path").alias("grand_path"))
+    known = pages.select("page_id", "path", "parent_path", "template", "cluster_thematique").join(parents, "parent_path", "left")
+    known = cut_lineage(
+        known.select(
+            "page_id", "path", "template", "cluster_thematique", "parent_id", (F.col("grand_path") == F.col("path")).alias("mutual"),
+            block_category(F.col("cluster_thematique")).alias("category"),
+        )
+    )
+    target = F.struct(F.col("page_id").alias("id"), F.col("parent_id").alias("parent"))
+    rows = known.select("page_id", "template", "category", "parent_id", "mutual")
+
+    category_blocks = [name for name in TARGET_PAGES if name in blocks]
+    if category_blocks:
+        lists = [_first_targets(known, name, blocks[name].max_links, target) for name in category_blocks]
+        by_category = reduce(lambda left, right: left.join(right, "category", "full"), lists)
+        rows = rows.join(by_category, "category", "left")
+    if "cluster_peer" in blocks:
+        peers = peer_lists(known.select("cluster_thematique", "page_id", "parent_id"), options.cluster_peer_k, target)
+        rows = rows.join(peers.select("page_id", F.col("peers").alias("cluster_peer")), "page_id", "left")
+    if "hierarchy_down" in blocks:
+        enough = options.max_out_links_per_page + sum(max(0, block.max_links) for block in blocks.values()) + 1
+        order = Window.partitionBy("parent_id").orderBy("page_id")
+        first = known.where("parent_id is not null").select("parent_id", "page_id").withColumn("_n", F.row_number().over(order))
+        children = first.where(F.col("_n") <= enough).groupBy("parent_id").agg(F.collect_list("page_id").alias("children"))
+        rows = rows.join(children.withColumnRenamed("parent_id", "_parent"), F.col("page_id") == F.col("_parent"), "left").drop("_parent")
+
+    if "footer_corporate" in blocks:
+        footer = known.where(F.col("template").isin(FOOTER_TEMPLATES)).select(target.alias("t")).orderBy("t.id").limit(blocks["footer_corporate"].max_links)
+        rows = rows.withColumn("footer_corporate", footer.agg(F.collect_list("t")).scalar())
+
+    def listed(name: str) -> Column:
+        """The block's targets (id, parent) on a page that shows it."""
+        if name in category_blocks:
+            return F.when(F.col("template").isin(expand_templates(blocks[name].present_on)), F.col(name))
+        parent = F.array(F.struct(F.col("parent_id").alias("id"), F.lit(None).cast("long").alias("parent")))
+        if name == "breadcrumb":
+            return F.when(F.col("parent_id").isNotNull() & F.col("template").isin(expand_templates(blocks[name].present_on)), parent)
+        if name == "hierarchy_up":
+            return F.when(F.col("parent_id").isNotNull(), parent)
+        return F.col(name)
+
+    empty = F.array().cast("array<struct<block:tinyint,target_id:bigint>>")
+    parts, others = [], []
+    for name in blocks:
+        if name != "hierarchy_down":
+            targets = listed(name)
+            others.append(targets)
+            parts.append(F.coalesce(_links_to(number[name], F.transform(targets, lambda t: t["id"])), empty))
+    if "hierarchy_down" in blocks:
+        down = number["hierarchy_down"]
+        none = F.array().cast("array<bigint>")
+        own = [F.transform(F.filter(t, lambda x: x["parent"] == F.col("page_id")), lambda x: x["id"]) for t in others]
+        mutual = F.when(F.coalesce("mutual", F.lit(False)), F.array("parent_id")).otherwise(none)
+        every = F.array_distinct(F.concat(F.coalesce("children", none), mutual, *[F.coalesce(ids, none) for ids in own]))
+        parts.append(_links_to(down, every))
+    if not parts:
+        return block_dedup_cap(all_block_links(pages, options), options.max_out_links_per_page)
+    links = rows.select(F.col("page_id").alias("source_id"), F.explode(F.concat(*parts)).alias("l")).select("source_id", "l.*")
+    weights = F.array(*[F.lit(float(np.float32(block.weight))) for block in blocks.values()])
+    names = F.array(*[F.lit(name) for name in blocks])
+    merged = (
+        links.where(F.col("source_id") != F.col("target_id"))
+        .groupBy("source_id", "target_id")
+        .agg(F.sum(F.element_at(weights, F.col("block") + 1)).cast("float").alias("rule_weight"), F.min("block").alias("block"))
+    )
+    order = Window.partitionBy("source_id").orderBy(F.desc("rule_weight"), "target_id")
+    kept = merged.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= options.max_out_links_per_page)
+    return conform(kept.withColumn("block_type", F.element_at(names, F.col("block") + 1)), EDGES)
+
+
+def _first_targets(pages: DataFrame, name: str, limit: int, target: Column) -> DataFrame:
+    """(category, <block name>): the first targets of the block, by id, in each category."""
+    order = Window.partitionBy("category").orderBy("page_id")
+    chosen = pages.where(TARGET_PAGES[name]()).withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= limit)
+    return chosen.groupBy("category").agg(F.collect_list(target).alias(name))
 
 
 def block_summary(edges: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Landing-page tables from taxonomy tables, and ring-shaped benchmark graphs.
+"""Landing-page tables from taxonomy tables.
 
 Taxonomy inputs:
 ``categories(category, verticale)``; ``facets(category, facet, facet_no, value, value_no)``
@@ -10,21 +10,21 @@ parent_path, template, cluster_thematique)``.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.urls import segment_pieces
 from linkloom.operators.ordering import dense_index
-from linkloom.schemas import EDGES, PAGES, TEMPLATE_PAGES, conform
+from linkloom.schemas import TEMPLATE_PAGES, conform
 
 DRAFT = ["path", "parent_path", "template", "cluster_thematique"]
 
-# Vertical of unlisted categories, and the stride of rings.
+# Fixed value: vertical of unlisted categories.
 OTHER_VERTICAL = "_services_"
-RING_STRIDE = 17
+#: Places that are sent to tasks as one constant; some 50 bytes each.
+PLACES_TOGETHER = 20_000
 
 
 @dataclass(frozen=True)
@@ -94,13 +94,23 @@ def expand_facet_pages(facets: DataFrame, options: ExpansionOptions = ExpansionO
 
 
 def _with_places(rows: DataFrame, places: DataFrame, kind: str, limit: int | None = None) -> DataFrame:
-    """Every row with the first ``limit`` places of a kind, matched by place number."""
+    """Every row with the first ``limit`` places of a kind.
+
+    Up to PLACES_TOGETHER places are one array that goes to the tasks of ``rows`` as a constant, so no
+    row moves. Longer lists are cut into arrays of that many, and rows meet them by the array's number.
+    """
     of_kind = _up_to(places.where(F.col("kind") == kind), "place_no", limit)
-    last = of_kind.agg(F.coalesce(F.max("place_no"), F.lit(0)).cast("int")).scalar()
-    numbers = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    return rows.withColumn("place_no", F.explode(numbers)).join(
-        of_kind.select(F.col("place_no").cast("int").alias("place_no"), "place", "code"), "place_no"
-    )
+    last = of_kind.agg(F.max("place_no")).first()[0]  # they are numbered from 1
+    if last is None:
+        return rows.withColumns({"place": F.lit(None).cast("string"), "code": F.lit(None).cast("string")}).limit(0)
+    number = F.floor((F.col("place_no") - 1) / F.lit(PLACES_TOGETHER)).cast("long")
+    lists = of_kind.groupBy(number.alias("_list")).agg(F.collect_list(F.struct("place", "code")).alias("_places"))
+    if last <= PLACES_TOGETHER:
+        met = rows.withColumn("_places", lists.select("_places").scalar())
+    else:
+        numbers = F.sequence(F.lit(0).cast("long"), F.lit((last - 1) // PLACES_TOGETHER).cast("long"))
+        met = rows.withColumn("_list", F.explode(numbers)).join(lists, "_list").drop("_list")
+    return met.withColumn("_place", F.explode("_places")).select(*[F.col(f"`{c}`") for c in rows.columns], "_place.place", "_place.code")
 
 
 def expand_geo_pages(
@@ -164,43 +174,3 @@ def expand_finalize(drafts: DataFrame, budgets: dict[str, int] | None = None) ->
 
 def template_counts(pages: DataFrame) -> DataFrame:
     return pages.groupBy("template").agg(F.count(F.lit(1)).alias("count"))
-
-
-def ring_pages(spark: SparkSession, node_count: int, cluster_count: int) -> DataFrame:
-    """``node_count`` pages dealt over ``cluster_count`` clusters in turn."""
-    cluster = (F.col("page_id") - 1) % max(cluster_count, 1)
-    pages = spark.range(1, node_count + 1).select(F.col("id").alias("page_id")).select(
-        "page_id",
-        F.concat(F.lit("synthetic/"), F.col("page_id").cast("string"), F.lit("/")).alias("path"),
-        F.lit(None).cast("string").alias("parent_path"),
-        F.lit(2).alias("depth"),
-        F.lit("synthetic").alias("section"),
-        F.concat(F.lit("synthetic:cluster-"), cluster.cast("string")).alias("cluster_thematique"),
-        F.lit(True).alias("is_leaf"),
-    )
-    return conform(pages, PAGES)
-
-
-def ring_edges(spark: SparkSession, node_count: int, edge_count: int) -> DataFrame:
-    """The first ``edge_count`` links (source, step order) of a ring with stride-17 jumps.
-
-    A step that leads back to its source does so for every source, so the running number
-    of a link is known without sorting.
-    """
-    if node_count <= 0 or edge_count <= 0:
-        return spark.createDataFrame([], "source_id int, target_id int, block_type string, rule_weight float")
-    steps_per_node = math.ceil(edge_count / node_count)
-    useful = F.filter(
-        F.sequence(F.lit(1).cast("long"), F.lit(steps_per_node).cast("long")), lambda s: (s * RING_STRIDE) % node_count != 0
-    )
-    links = spark.range(1, node_count + 1).select(
-        F.col("id").alias("source_id"), F.size(useful).alias("steps"), F.posexplode(useful).alias("step_no", "step")
-    )
-    number = (F.col("source_id") - 1) * F.col("steps") + F.col("step_no")
-    target = (F.col("source_id") + F.col("step") * RING_STRIDE - 1) % node_count + 1
-    return conform(
-        links.where(number < edge_count).select(
-            "source_id", target.alias("target_id"), F.lit("synthetic").alias("block_type"), F.lit(1.0).alias("rule_weight")
-        ),
-        EDGES,
-    )

@@ -1,40 +1,46 @@
-"""Weighted PageRank as an iterative DataFrame job, for several graphs at once.
-
-Rows carry a ``graph`` name, so forward rank, reverse rank and every what-if variant of
-the same site advance in one loop.
-
-With uniform teleport and the rank of dead ends spread evenly, both terms add one equal
-amount to every page. The rank vector is therefore the solution of ``x = 1 + d * A'x``
-(A: row-stochastic link shares, dead ends empty) divided by its own sum, and a step needs
-no global number: one join of the transitions with the current vector, both
-hash-partitioned by ``graph, page`` so that nothing moves, and one map-side combined sum
-per target, so that a page with very many in-links costs one row per task. A run of steps
-is one Spark job; after it the last three vectors are checkpointed, the change is measured
-and the slowest component is taken out: its ratio from step to step is the quotient of the
-last two changes, and the geometric series it stands for is summed at once (reduced-rank
-extrapolation of order one). Sites where listings and items only link to each other would
-otherwise converge no faster than the damping. Only these few sums per graph reach the
-driver.
-
-A source that owns a large part of all links would make one partition of the transitions
-large. Such sources (there can be only ``links / split_links`` of them) are kept apart:
-their links stay spread over all tasks and their current values are broadcast, with a
-checkpoint after every step.
+"""Weighted PageRank as an iterative DataFrame job: both directions, any number of weightings at once.
+
+With uniform teleport and the rank of dead ends spread evenly, both terms add one equal amount to every page. The
+rank vector is therefore the solution of ``x = 1 + d * A'x`` (A: row-stochastic link shares, dead ends
+empty) divided by its own sum, and a step needs no global number.
+
+Layout. A link row holds its share under every weighting (scenario), so all of them advance in one pass over
+the links; forward and reverse rank are two values of ``direction``. Links are laid out by (source, chunk): chunks of
+``links_per_partition`` links, dealt by target, so a hub is many chunks and any other page is chunk 0, on one path. Chunks beyond
+the first get the page's value by a copy link from chunk 0, one step later, which changes the way to the solution but
+not the solution. A step is one join, in which links stay where they are, and one sum by target, map-side first, so that a
+page with very many in-links is one row a task.
+
+Each node also has a link of share 0 to itself, which keeps pages without in-links and carries the values of the
+last steps along, so that a round of steps is one plan that ends in one table.
+
+Convergence. From the last vectors of a round, minimal residual extrapolation (reduced rank) gives the next start; only
+the Gram matrix of their differences, a few sums a weighting, reaches the driver. There is one reliable checkpoint a
+round; a lost executor costs the steps since then.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from linkloom.storage import cut_lineage, sql_settings
 
 # Ranks are rounded to this many decimals of the average rank, so pages that are equal by
 # symmetry get equal ranks whatever the summation order was.
-RELATIVE_DECIMALS = 9
+RELATIVE_DECIMALS = 8
+FORWARD, REVERSE = 0, 1
+#: Vectors of a round that the extrapolation uses.
+HISTORY = 6
+#: Rounding error of a Gram matrix with ones on its diagonal.
+GRAM_ERROR = 1e-12
+#: Extrapolation weights that add up to more, signs aside, would magnify rounding errors.
+LARGEST_WEIGHTS = 1e3
 
 
 @dataclass(frozen=True)
@@ -44,153 +50,217 @@ class RankOptions:
     max_iterations: int = 200
     steps_per_check: int = 8
     links_per_partition: int = 100_000
-    split_links: int = 1_000_000
 
 
-def transition_table(links: DataFrame) -> DataFrame:
-    """(graph, source, target, share): parallel links summed, shares of one source add to 1.
+def _names(prefix: str, count: int) -> list[str]:
+    return [f"{prefix}{k}" for k in range(count)]
+
+
+def directed_links(links: DataFrame, count: int) -> DataFrame:
+    """(direction, source, target, w0, w1, ...): parallel links summed, each link both ways."""
+    weights = _names("w", count)
+    merged = links.groupBy("source", "target").agg(*[F.sum(w).alias(w) for w in weights])
+
+    def ends(direction: int, source: str, target: str) -> Column:
+        return F.struct(F.lit(direction).cast("byte").alias("direction"), F.col(source).alias("source"), F.col(target).alias("target"))
+
+    both = F.array(ends(FORWARD, "source", "target"), ends(REVERSE, "target", "source"))
+    return merged.select(F.explode(both).alias("link"), *weights).select("link.*", *weights)
+
+
+def node_table(directed: DataFrame, count: int, options: RankOptions) -> DataFrame:
+    """(direction, page, chunk, chunks, r0, r1, ...) of every page with links: the damped share of a unit of link weight.
 
-    Sources whose weights add up to nothing drop out, which makes them dangling.
+    A source whose weights add up to nothing passes nothing on, which makes it dangling. As each link is there both ways,
+    pages without out-links are sources of the other direction.
     """
-    merged = links.groupBy("graph", "source", "target").agg(F.sum("weight").alias("weight"))
-    totals = merged.groupBy("graph", "source").agg(F.sum("weight").alias("total")).where(F.col("total") > 0)
-    return merged.join(totals, ["graph", "source"]).select(
-        "graph", "source", "target", (F.col("weight") / F.col("total")).alias("share")
+    weights = _names("w", count)
+    totals = directed.groupBy("direction", F.col("source").alias("page")).agg(
+        F.count(F.lit(1)).alias("links"), *[F.sum(w).alias(w) for w in weights]
     )
+    nothing = [F.lit(0.0).alias(w) for w in weights]
+    other = totals.select((F.lit(1) - F.col("direction")).cast("byte").alias("direction"), "page", F.lit(0).cast("long").alias("links"), *nothing)
+    both = totals.unionByName(other).groupBy("direction", "page").agg(*[F.sum(c).alias(c) for c in ("links", *weights)])
+    rates = [F.when(F.col(w) > 0, F.lit(options.damping) / F.col(w)).otherwise(0.0).alias(f"r{k}") for k, w in enumerate(weights)]
+    chunks = F.greatest(F.lit(1), F.ceil(F.col("links") / F.lit(options.links_per_partition)).cast("int"))
+    sized = both.select("direction", "page", chunks.alias("chunks"), *rates)
+    return sized.select("direction", "page", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "chunks", *_names("r", count))
 
 
+def link_layout(directed: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
+    """(direction, source, chunk, target, target_chunk, s0, s1, ...): links with their shares, own and copy links.
 
-def _split_hot(transitions: DataFrame, link_count: int, partitions: int, options: RankOptions) -> list[tuple[DataFrame, bool]]:
-    """Transitions ready for the loop: [(table, is_hot)]; cold ones are laid out by source."""
-    limit = max(options.split_links, link_count // max(partitions, 1))
-    heavy = transitions.groupBy("graph", "source").count().where(F.col("count") > limit).select("graph", "source")
-    cold, spread = transitions, []
-    if not heavy.isEmpty():
-        heavy = cut_lineage(heavy)
-        hot = transitions.join(F.broadcast(heavy), ["graph", "source"], "left_semi")
-        cold = transitions.join(F.broadcast(heavy), ["graph", "source"], "left_anti")
-        spread.append((hot.repartition(partitions).persist(), heavy))
-    cold = cold.repartition(partitions, "graph", "source").sortWithinPartitions("graph", "source").persist()
-    return [(cold, None), *spread]
-
-
-def _step(layout: list[tuple[DataFrame, DataFrame | None]], vector: DataFrame, damping: float) -> DataFrame:
-    """One step. ``vector`` holds ``x - 1`` of every page that has in-links."""
-    current = vector.withColumnRenamed("target", "source")
-    flow = F.col("share") * (F.coalesce(F.col("linked"), F.lit(0.0)) + F.lit(1.0))
-    flows = layout[0][0].join(current, ["graph", "source"], "left")
-    if len(layout) > 1:
-        transitions, heavy = layout[1]
-        values = F.broadcast(current.join(F.broadcast(heavy), ["graph", "source"], "left_semi"))
-        flows = flows.unionByName(transitions.join(values, ["graph", "source"], "left"))
-    return flows.groupBy("graph", "target").agg((F.sum(flow) * F.lit(damping)).alias("linked"))
-
-
-def _ratios_and_change(
-    first: DataFrame, second: DataFrame, third: DataFrame, node_count: int, limit: float
-) -> tuple[dict[str, float], float]:
-    """Per graph: ratio of the last two changes; over all graphs: relative size of the last one."""
-
-    def part(df: DataFrame, column: str) -> DataFrame:
-        return df.select(
-            "graph", "target", *[(F.col("linked") if c == column else F.lit(0.0)).alias(c) for c in ("a", "b", "c")]
-        )
-
-    before, after = F.col("b") - F.col("a"), F.col("c") - F.col("b")
-    sums = (
-        part(first, "a").unionByName(part(second, "b")).unionByName(part(third, "c"))
-        .groupBy("graph", "target")
-        .agg(*[F.sum(c).alias(c) for c in ("a", "b", "c")])
-        .groupBy("graph")
-        .agg(
-            F.sum(after * before).alias("cross"),
-            F.sum(before * before).alias("square"),
-            F.sum(F.abs(after)).alias("moved"),
-            F.sum("c").alias("total"),
-        )
-        .collect()
+    Only pages of several chunks are broadcast; there is one of them per ``links_per_partition`` links at most.
+    """
+    several = nodes.where("chunks > 1 and chunk = 0").select("direction", F.col("page").alias("source"), "chunks")
+    dealt = directed.join(F.broadcast(several), ["direction", "source"], "left")
+    dealt = dealt.withColumn("chunk", F.coalesce(F.pmod(F.hash("target"), F.col("chunks")), F.lit(0))).drop("chunks")
+    rates = nodes.select("direction", F.col("page").alias("source"), "chunk", *_names("r", count))
+    shares = [(F.col(f"w{k}") * F.col(f"r{k}")).alias(f"s{k}") for k in range(count)]
+    links = dealt.join(rates, ["direction", "source", "chunk"]).select(
+        "direction", "source", "chunk", "target", F.lit(0).alias("target_chunk"), *shares
     )
-    ratios = {r["graph"]: max(-limit, min(limit, r["cross"] / r["square"])) if r["square"] > 0 else 0.0 for r in sums}
-    return ratios, max(r["moved"] / (node_count + r["total"]) for r in sums)
 
+    def within(rows: DataFrame, chunk: Column, share: float) -> DataFrame:
+        page = F.col("page")
+        fixed = [F.lit(share).alias(f"s{k}") for k in range(count)]
+        return rows.select("direction", page.alias("source"), chunk.alias("chunk"), page.alias("target"), F.col("chunk").alias("target_chunk"), *fixed)
+
+    own, copies = within(nodes, F.col("chunk"), 0.0), within(nodes.where("chunk > 0"), F.lit(0), 1.0)
+    return links.unionByName(own).unionByName(copies)
+
+
+def _step(layout: DataFrame, vector: DataFrame | None, count: int, start: float, carried: int) -> DataFrame:
+    """One step: (direction, page, chunk, y0, ...) from the same of ``vector``; without one, every page holds ``start``.
+
+    y is ``x - 1`` in chunk 0 and x in others. p<k>_1, p<k>_2, ... hold the ``carried`` values before
+    y<k>, latest first.
+    """
+    earlier = [(f"p{k}_{age}", f"y{k}" if age == 1 else f"p{k}_{age - 1}") for k in range(count) for age in range(1, carried + 1)]
+    if vector is None:
+        flows, value = layout, lambda k: F.lit(start)
+    else:
+        base = F.when(F.col("chunk") == 0, F.lit(1.0)).otherwise(0.0)
+        values = [(F.col(f"y{k}") + base).alias(f"x{k}") for k in range(count)]
+        known = vector.select("direction", F.col("page").alias("source"), "chunk", *values, *[old for _, old in earlier])
+        flows, value = layout.join(known.hint("shuffle_hash"), ["direction", "source", "chunk"]), lambda k: F.col(f"x{k}")
+    own = (F.col("source") == F.col("target")) & (F.col("chunk") == F.col("target_chunk"))
+    sums = [F.sum(F.col(f"s{k}") * value(k)).alias(f"y{k}") for k in range(count)]
+    kept = [F.max(F.when(own, F.col(old))).alias(new) for new, old in earlier]
+    return flows.groupBy("direction", F.col("target").alias("page"), F.col("target_chunk").alias("chunk")).agg(*sums, *kept)
+
+
+def _round(layout: DataFrame, vector: DataFrame | None, count: int, options: RankOptions) -> DataFrame:
+    """``steps_per_check`` steps in one plan, the last ``HISTORY`` vectors side by side."""
+    steps = max(2, options.steps_per_check)
+    for step in range(1, steps + 1):
+        carried = min(step - 1, HISTORY - 1 - (steps - step))  # those of this round that the last step still uses
+        vector = _step(layout, vector, count, 1.0 / (1.0 - options.damping), max(0, carried))
+    return cut_lineage(vector)
 
-def _extrapolated(second: DataFrame, third: DataFrame, ratios: dict[str, float]) -> DataFrame:
-    factor = F.lit(0.0)
-    for graph, ratio in ratios.items():
-        factor = F.when(F.col("graph") == graph, F.lit(ratio / (1.0 - ratio))).otherwise(factor)
-    weighted = third.select("graph", "target", (F.col("linked") * (F.lit(1.0) + factor)).alias("linked")).unionByName(
-        second.select("graph", "target", (F.col("linked") * -factor).alias("linked"))
-    )
-    return weighted.groupBy("graph", "target").agg(F.sum("linked").alias("linked"))
 
+def _vectors(k: int, steps: int) -> list[str]:
+    """Columns of a weighting's vectors in a round's table, earliest first."""
+    return [f"p{k}_{age}" for age in range(min(HISTORY, steps) - 1, 0, -1)] + [f"y{k}"]
 
-def rank_graphs(
-    nodes: DataFrame, links: DataFrame, graphs: list[str], options: RankOptions = RankOptions()
-) -> DataFrame:
-    """(graph, page_id, score) for every node and graph; scores of one graph sum to 1.
 
-    ``nodes`` has ``page_id``; ``links`` has ``graph, source, target, weight``.
+def _gram(table: DataFrame, steps: int, count: int) -> list[Row]:
+    """Per direction and weighting: products of the differences of successive vectors, last change, sum."""
+    sums = []
+    for k in range(count):
+        names = _vectors(k, steps)
+        change = [F.col(after) - F.col(before) for before, after in zip(names, names[1:], strict=False)]
+        sums += [F.sum(change[a] * change[b]).alias(f"g{k}_{a}_{b}") for a in range(len(change)) for b in range(a, len(change))]
+        sums += [F.sum(F.abs(change[-1])).alias(f"moved{k}"), F.sum(F.when(F.col("chunk") == 0, F.col(f"y{k}"))).alias(f"total{k}")]
+    return table.groupBy("direction").agg(*sums).collect()  # two rows
+
+
+def _coefficients(row: Row, k: int, differences: int) -> list[float]:
+    """Weights of the vectors after each difference: those that make the weighted difference smallest, and add up to 1.
+
+    Differences are scaled to one length first. A round that converges has a nearly singular Gram matrix whose null space
+    holds the answer, so it is shifted by its rounding error instead of cut.
     """
-    spark = nodes.sparkSession
-    node_count = nodes.count()
-    everywhere = nodes.select("page_id", F.explode(F.array(*[F.lit(g) for g in graphs])).alias("graph"))
-    transitions = transition_table(links).persist()
+    gram = np.empty((differences, differences))
+    for a in range(differences):
+        for b in range(a, differences):
+            gram[a, b] = gram[b, a] = row[f"g{k}_{a}_{b}"]
+    size = np.sqrt(np.diag(gram))
+    plain = [0.0] * (differences - 1) + [1.0]
+    if not (size > 0).all():  # it stands still
+        return plain
+    scaled = gram / np.outer(size, size) + GRAM_ERROR * np.eye(differences)
+    weights = np.linalg.solve(scaled, 1.0 / size) / size
+    weights = weights / weights.sum()
+    return weights.tolist() if np.isfinite(weights).all() and np.abs(weights).sum() <= LARGEST_WEIGHTS else plain
+
+
+def _extrapolated(table: DataFrame, rows: list[Row], steps: int, count: int) -> DataFrame:
+    """The weighted vectors of a round, per direction and weighting."""
+    outputs = []
+    for k in range(count):
+        after = _vectors(k, steps)[1:]
+        per_direction = F.lit(None).cast("double")
+        for row in rows:
+            weights = _coefficients(row, k, len(after))
+            mixed = sum((F.col(name) * F.lit(w) for name, w in zip(after, weights, strict=True) if w), F.lit(0.0))
+            per_direction = F.when(F.col("direction") == row["direction"], mixed).otherwise(per_direction)
+        outputs.append(per_direction.alias(f"y{k}"))
+    return table.select("direction", "page", "chunk", *outputs)
+
+
+def _iterate(layout: DataFrame, count: int, node_count: int, options: RankOptions) -> DataFrame:
+    done, vector = 0, None
+    steps, before, trusted = max(2, options.steps_per_check), math.inf, True
+    while True:
+        table = _round(layout, vector, count, options)
+        done += steps
+        rows = _gram(table, steps, count)
+        change = max((row[f"moved{k}"] / (node_count + row[f"total{k}"]) for row in rows for k in range(count)), default=0.0)
+        plain = table.select("direction", "page", "chunk", *_names("y", count))
+        if change < options.tolerance or done >= options.max_iterations:
+            if change >= options.tolerance > 0:  # a tolerance of 0 asks for a fixed number of steps
+                raise RuntimeError(f"ranks still change by {change:.3g} after {done} steps; raise max_iterations or tolerance")
+            return plain.where("chunk = 0")
+        trusted = trusted and change <= before  # else plain steps, which always converge
+        before = change
+        vector = _extrapolated(table, rows, steps, count) if trusted else plain
+
+
+def _partitions(link_count: int, options: RankOptions, cores: int) -> int:
+    """About ``links_per_partition`` links each; beyond one wave of tasks, whole waves."""
+    wanted = max(1, math.ceil(link_count / options.links_per_partition))
+    return wanted if wanted <= cores else cores * max(1, round(wanted / cores))
+
+
+def rank_graphs(nodes: DataFrame, links: DataFrame, variants: list[str], options: RankOptions = RankOptions()) -> DataFrame:
+    """(page_id, forward_<variant>, reverse_<variant>, ...) for every node; each score column sums to 1.
+
+    ``nodes`` has ``page_id``; ``links`` has ``source, target`` and a weight column per variant, ``w0, w1, ...`` in
+    their order (null: no such link).
+    """
+    count, node_count = len(variants), nodes.count()
+    named = {(FORWARD, k): f"forward_{name}" for k, name in enumerate(variants)} | {(REVERSE, k): f"reverse_{name}" for k, name in enumerate(variants)}
+    weights = [F.coalesce(F.col(w).cast("double"), F.lit(0.0)).alias(w) for w in _names("w", count)]
+    directed = directed_links(links.select("source", "target", *weights), count).persist()
+    held = [directed]
     try:
-        link_count = transitions.count()
+        link_count = directed.count()
         if node_count == 0 or link_count == 0:
-            return everywhere.select("graph", "page_id", F.lit(1.0 / max(node_count, 1)).alias("score"))
-        partitions = max(1, math.ceil(link_count / options.links_per_partition))
+            return nodes.select("page_id", *[F.lit(1.0 / max(node_count, 1)).alias(name) for name in named.values()])
+        partitions = _partitions(link_count, options, nodes.sparkSession.sparkContext.defaultParallelism)
         # The layout is fixed by hand here, so the loop neither re-plans nor broadcasts on its own.
         settings = {
             "spark.sql.shuffle.partitions": str(partitions),
             "spark.sql.adaptive.enabled": "false",
             "spark.sql.autoBroadcastJoinThreshold": "-1",
         }
-        with sql_settings(spark, settings):
-            vector = _iterate(_split_hot(transitions, link_count, partitions, options), node_count, options)
+        with sql_settings(directed.sparkSession, settings):
+            pages = cut_lineage(node_table(directed, count, options))
+            layout = link_layout(directed, pages, count).repartition(partitions, "direction", "source", "chunk")
+            layout = cut_lineage(layout).persist()  # a short plan, and what is lost is read again
+            held.append(layout)
+            vector = _iterate(layout, count, node_count, options)
     finally:
-        transitions.unpersist()
-    relative = F.coalesce(F.col("linked"), F.lit(0.0)) + 1.0
-    totals = {
-        row["graph"]: row["total"] + node_count
-        for row in vector.groupBy("graph").agg(F.sum("linked").alias("total")).collect()
-    }
-    total = F.lit(float(node_count))
-    for graph, value in totals.items():
-        total = F.when(F.col("graph") == graph, F.lit(value)).otherwise(total)
-    of_average = F.round(relative / (total / F.lit(float(node_count))), RELATIVE_DECIMALS)
-    return everywhere.join(vector.withColumnRenamed("target", "page_id"), ["graph", "page_id"], "left").select(
-        "graph", "page_id", (of_average / F.lit(float(node_count))).alias("score")
+        for table in held:
+            table.unpersist()
+    return _scores(nodes, vector, named, node_count, count)
+
+
+def _scores(nodes: DataFrame, vector: DataFrame, named: dict[tuple[int, int], str], node_count: int, count: int) -> DataFrame:
+    totals = {r["direction"]: r for r in vector.groupBy("direction").agg(*[F.sum(y).alias(y) for y in _names("y", count)]).collect()}
+    spread = vector.groupBy(F.col("page").alias("page_id")).agg(
+        *[F.max(F.when(F.col("direction") == d, F.col(f"y{k}"))).alias(name) for (d, k), name in named.items()]
     )
 
+    def score(direction: int, k: int, name: str) -> Column:
+        total = float(node_count) + (totals[direction][f"y{k}"] if direction in totals else 0.0)
+        of_average = (F.coalesce(F.col(name), F.lit(0.0)) + F.lit(1.0)) / F.lit(total / node_count)
+        return (F.round(of_average, RELATIVE_DECIMALS) / F.lit(float(node_count))).alias(name)
 
-def _iterate(layout: list[tuple[DataFrame, DataFrame | None]], node_count: int, options: RankOptions) -> DataFrame:
-    # Uniform start: every page holds 1 / (1 - d).
-    start = options.damping / (1.0 - options.damping)
-    vector = None
-    for transitions, _ in layout:
-        first = transitions.select("graph", "target", "share")
-        vector = first if vector is None else vector.unionByName(first)
-    vector = vector.groupBy("graph", "target").agg((F.sum("share") * F.lit(start)).alias("linked"))
-    done = 1
-    try:
-        while True:
-            for _ in range(options.steps_per_check - 2):
-                vector = _step(layout, vector, options.damping)
-                if len(layout) > 1:  # a step then reads the vector twice; chained, that would double per step
-                    vector = cut_lineage(vector)
-            first = cut_lineage(vector)
-            second = cut_lineage(_step(layout, first, options.damping))
-            third = cut_lineage(_step(layout, second, options.damping))
-            done += options.steps_per_check
-            ratios, change = _ratios_and_change(first, second, third, node_count, options.damping)
-            if change < options.tolerance:
-                return third
-            if done >= options.max_iterations:
-                if options.tolerance > 0:  # a tolerance of 0 asks for a fixed number of steps
-                    raise RuntimeError(f"ranks still change by {change:.3g} after {done} steps; raise max_iterations or tolerance")
-                return third
-            vector = _extrapolated(second, third, ratios)
-    finally:
-        for transitions, _ in layout:
-            transitions.unpersist()
+    return nodes.join(spread, "page_id", "left").select("page_id", *[score(d, k, name) for (d, k), name in named.items()])
+
+
+def weight_columns(weights: Iterable[Column]) -> list[Column]:
+    """Sums of weight expressions under the names that ``rank_graphs`` reads."""
+    return [F.sum(weight).alias(f"w{k}") for k, weight in enumerate(weights)]

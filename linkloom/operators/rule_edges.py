@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.operators.ordering import dense_index
@@ -52,16 +52,14 @@ def hierarchy_down(pairs: DataFrame, weight: float = 0.7) -> DataFrame:
     return _as_edges(pairs, "parent_id", "child_id", "hierarchy_down", weight)
 
 
-def cluster_peer(pages: DataFrame, k: int = 8, weight: float = 0.4, stretch: int = ROWS_PER_STRETCH) -> DataFrame:
-    """Each page links to the next k pages (by id) of its cluster; no wrap-around.
+def peer_lists(pages: DataFrame, k: int, peer: Column, stretch: int = ROWS_PER_STRETCH) -> DataFrame:
+    """(page_id, peers): the next k pages (by id) of each page's cluster, no wrap-around, as ``peer`` values.
 
     A cluster may be any size, so the window runs over stretches of the global
     (cluster, page) order. The first k rows of a stretch are repeated at the end of the
     previous one, which gives every row its k successors.
     """
-    placed = dense_index(
-        pages.select("cluster_thematique", "page_id"), [F.col("cluster_thematique"), F.col("page_id")], "_n", start=0
-    )
+    placed = dense_index(pages, [F.col("cluster_thematique"), F.col("page_id")], "_n", start=0)
     stretch = max(stretch, k)
     own = F.floor(F.col("_n") / stretch)
     ahead = (F.col("_n") % stretch < k) & (own > 0)
@@ -69,15 +67,16 @@ def cluster_peer(pages: DataFrame, k: int = 8, weight: float = 0.4, stretch: int
         "_stretch", F.explode(F.when(ahead, F.array(own, own - 1)).otherwise(F.array(own)))
     )
     order = Window.partitionBy("_stretch").orderBy("_n")
-    following = [F.lead(F.struct("cluster_thematique", "page_id"), step).over(order) for step in range(1, k + 1)]
-    pairs = (
-        spread.select("*", F.array(*following).alias("_next"))
-        .where(F.col("_stretch") == F.floor(F.col("_n") / stretch))
-        .select("cluster_thematique", "page_id", F.explode("_next").alias("peer"))
-        .where(F.col("peer.cluster_thematique") == F.col("cluster_thematique"))
-        .select("page_id", F.col("peer.page_id").alias("peer_id"))
-    )
-    return _as_edges(pairs, "page_id", "peer_id", "cluster_peer", weight)
+    following = [F.lead(F.struct("cluster_thematique", peer.alias("peer")), step).over(order) for step in range(1, k + 1)]
+    rows = spread.select("*", F.array(*following).alias("_next")).where(F.col("_stretch") == F.floor(F.col("_n") / stretch))
+    same = F.filter("_next", lambda p: p["cluster_thematique"] == F.col("cluster_thematique"))
+    return rows.select("page_id", F.transform(same, lambda p: p["peer"]).alias("peers"))
+
+
+def cluster_peer(pages: DataFrame, k: int = 8, weight: float = 0.4, stretch: int = ROWS_PER_STRETCH) -> DataFrame:
+    """Each page links to the next k pages (by id) of its cluster; no wrap-around."""
+    lists = peer_lists(pages.select("cluster_thematique", "page_id"), k, F.col("page_id"), stretch)
+    return _as_edges(lists.select("page_id", F.explode("peers").alias("peer_id")), "page_id", "peer_id", "cluster_peer", weight)
 
 
 def edge_dedup_priority(edges: DataFrame) -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.functions.links import juice_score
 from linkloom.operators.ordering import dense_index, quantiles
-from linkloom.operators.rank_iteration import RankOptions, rank_graphs
+from linkloom.operators.rank_iteration import RankOptions, rank_graphs, weight_columns
 from linkloom.schemas import PRI_SCORES, conform, require_columns
 
 LOW_POWER_FRACTION = 0.10
@@ -28,23 +28,29 @@ def edge_block_filter(edges: DataFrame, block_types: list[str] | None) -> DataFr
     return edges.where(F.col("block_type").isin(list(block_types))) if block_types else edges
 
 
-def edge_id_validation(edges: DataFrame, pages: DataFrame) -> DataFrame:
-    """Edges with an end that is not a page."""
-    known = pages.select("page_id")
-    no_source = edges.join(known, edges["source_id"] == known["page_id"], "left_anti")
-    has_source = edges.join(known, edges["source_id"] == known["page_id"], "left_semi")
-    return no_source.unionByName(has_source.join(known, has_source["target_id"] == known["page_id"], "left_anti"))
-
+def unknown_page_ids(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id): ends of edges that are not pages. Ends are counted once before the join, so no page is a hot key."""
+    ends = edges.select(F.explode(F.array("source_id", "target_id")).alias("page_id")).distinct()
+    return ends.join(pages.select("page_id"), "page_id", "left_anti")
 
-def graph_links(edges: DataFrame, forward: Column, reverse: Column, use_weights: bool = True) -> DataFrame:
-    """Edges as links of two graphs: as they are, and turned round."""
-    weight = (F.col("rule_weight") if use_weights else F.lit(1.0)).cast("double")
 
-    def ends(graph: Column, source: str, target: str) -> Column:
-        return F.struct(graph.alias("graph"), F.col(source).alias("source"), F.col(target).alias("target"))
+def edge_id_validation(edges: DataFrame, pages: DataFrame) -> DataFrame:
+    """Edges with an end that is not a page; one scan of the edges and one join.
 
-    both = F.array(ends(forward, "source_id", "target_id"), ends(reverse, "target_id", "source_id"))
-    return edges.select(F.explode(both).alias("link"), weight.alias("weight")).select("link.*", "weight")
+    Each edge meets the page table with both ends. One that misses both is found twice, and so are its
+    repeats, hence the larger of the two counts is how often it occurs.
+    """
+    whole = F.struct(*[F.col(f"`{c}`") for c in edges.columns]).alias("edge")
+    ends = F.array(
+        F.struct(F.col("source_id").alias("page_id"), F.lit(False).alias("at_target")),
+        F.struct(F.col("target_id").alias("page_id"), F.lit(True).alias("at_target")),
+    )
+    missing = edges.select(whole, F.explode(ends).alias("end")).select("edge", "end.*").join(
+        pages.select("page_id"), "page_id", "left_anti"
+    )
+    at_target = F.count_if("at_target")
+    found = missing.groupBy("edge").agg(F.greatest(at_target, F.count(F.lit(1)) - at_target).cast("int").alias("times"))
+    return found.select("edge", F.explode(F.sequence(F.lit(1), F.col("times")))).select("edge.*")
 
 
 def degrees(pages: DataFrame, edges: DataFrame, by: list[str] = []) -> DataFrame:
@@ -99,21 +105,32 @@ def power_flags(scored: DataFrame, page_count: int) -> DataFrame:
 
 
 def score_variants(pages: DataFrame, edges: DataFrame, variants: list[str], options: ScoreOptions) -> DataFrame:
-    """Scores for several weightings of one site (``edges`` has ``variant``), in one loop."""
+    """Scores for several weightings of one site (``edges`` has ``variant``), in one loop.
+
+    Variants are columns of the same links and of the same pages until the ranks are sorted.
+    """
     nodes = pages.select("page_id")
     page_count = nodes.count()
-    forward, reverse = F.concat(F.lit("pri "), F.col("variant")), F.concat(F.lit("chei "), F.col("variant"))
-    graphs = [f"{kind} {name}" for name in variants for kind in ("pri", "chei")]
-    links = graph_links(edges, forward, reverse, options.use_weights)
-    ranked = score_ranks(rank_graphs(nodes, links, graphs, options.rank), page_count)
-    ranked = ranked.withColumn("variant", F.regexp_replace("graph", "^(pri|chei) ", ""))
-    is_forward = F.col("graph").startswith("pri ")
-    placed = ranked.groupBy("variant", "page_id").agg(
+    weight = (F.col("rule_weight") if options.use_weights else F.lit(1.0)).cast("double")
+    links = edges.groupBy(F.col("source_id").alias("source"), F.col("target_id").alias("target")).agg(
+        *weight_columns(F.when(F.col("variant") == name, weight) for name in variants)
+    )
+    wide = rank_graphs(nodes, links, variants, options.rank)
+    graphs = [
+        F.struct(F.lit(number).alias("variant_no"), F.lit(kind).alias("kind"), F.col(f"{kind}_{name}").alias("score"))
+        for number, name in enumerate(variants)
+        for kind in ("forward", "reverse")
+    ]
+    long = wide.select("page_id", F.explode(F.array(*graphs)).alias("g")).select(F.struct("g.variant_no", "g.kind").alias("graph"), "page_id", "g.score")
+    ranked = score_ranks(long, page_count)
+    is_forward = F.col("graph.kind") == "forward"
+    placed = ranked.groupBy(F.col("graph.variant_no").alias("variant_no"), "page_id").agg(
         F.max(F.when(is_forward, F.col("score"))).alias("pri_score"),
         F.max(F.when(is_forward, F.col("rank"))).cast("long").alias("rank"),
         F.max(F.when(~is_forward, F.col("score"))).alias("cheirank_score"),
         F.max(F.when(~is_forward, F.col("rank"))).cast("long").alias("cheirank_rank"),
     )
+    placed = placed.withColumn("variant", F.element_at(F.array(*[F.lit(name) for name in variants]), F.col("variant_no") + 1)).drop("variant_no")
     counted = degrees(placed.select("variant", "page_id"), edges, ["variant"])
     scored = placed.join(counted, ["variant", "page_id"]).withColumn(
         "juice_potential_score", juice_score(F.col("cheirank_score"), F.col("out_degree"))
@@ -124,9 +141,8 @@ def score_variants(pages: DataFrame, edges: DataFrame, variants: list[str], opti
 def compute_pri(pages: DataFrame, edges: DataFrame, options: ScoreOptions = ScoreOptions()) -> DataFrame:
     """The ``pri_scores`` table of one site."""
     chosen = edge_block_filter(edges, options.include_block_types)
-    invalid = edge_id_validation(chosen, pages).count()
-    if invalid:
-        raise ValueError(f"{invalid} edges start or end outside the page table")
+    if not unknown_page_ids(chosen, pages).isEmpty():
+        raise ValueError(f"{edge_id_validation(chosen, pages).count()} edges start or end outside the page table")
     scored = score_variants(pages, chosen.withColumn("variant", F.lit("site")), ["site"], options)
     return conform(scored, PRI_SCORES)
 

@@ -215,60 +215,48 @@ cte(
 cte("ppg", f"SELECT *, {inputs.TEMPLATE_OF_PAGE} AS template FROM pg", "pg")
 
 
-def add_rank(prefix: str, links: str, steps: int, *needs: str) -> None:
-    """CTEs ``<prefix>_rank(graph, page_id, score)`` from links(graph, source, target, weight).
+#: Steps of plain power iteration: 0.85 to this power is far below the grid of the scores.
+POWER_STEPS = 190
 
-    SQL can't stop by itself: ``steps`` is how many the query's tolerance takes at sf0.01.
+
+def add_rank(prefix: str, links: str, *needs: str) -> None:
+    """CTE ``<prefix>_rank(graph, page_id, score)`` from links(graph, source, target, weight).
+
+    Plain power iteration from the uniform vector, with teleport and with the rank of dead ends spread evenly.
+    A dead end is a row to the null page, and every page has a row of share 0 to itself, so that pages without links stay.
     """
     d = RANK.damping
-    w = f"{prefix}_w"
     cte(f"{prefix}_m", f"SELECT graph, source, target, sum(weight) AS weight FROM ({links}) GROUP BY ALL", *needs)
     cte(
-        w,
+        f"{prefix}_w",
         f"""SELECT graph, source, target, weight / total AS share FROM {prefix}_m
   JOIN (SELECT graph, source, sum(weight) AS total FROM {prefix}_m GROUP BY ALL) USING (graph, source) WHERE total > 0""",
         f"{prefix}_m",
     )
-    last = [f"{prefix}_v1"]
-    cte(last[0], f"SELECT graph, target, sum(share) * {d / (1 - d)!r}::DOUBLE AS linked FROM {w} GROUP BY ALL", w)
-    done = 1
-    while done < steps:
-        for _ in range(RANK.steps_per_check):
-            done += 1
-            name = f"{prefix}_v{done}"
-            cte(
-                name,
-                f"""SELECT w.graph, w.target, sum(share * (coalesce(linked, 0) + 1)) * {d!r}::DOUBLE AS linked FROM {w} w
-  LEFT JOIN {last[-1]} v ON v.graph = w.graph AND v.target = w.source GROUP BY ALL""",
-                w,
-                last[-1],
-            )
-            last.append(name)
-        if done < steps:
-            first, second, third = last[-3:]
-            name = f"{prefix}_x{done}"
-            cte(
-                name,
-                f"""WITH j AS (SELECT graph, target, a.linked AS a, b.linked AS b, c.linked AS c FROM {first} a
-  JOIN {second} b USING (graph, target) JOIN {third} c USING (graph, target)),
-r AS (SELECT graph, coalesce(greatest({-d!r}::DOUBLE, least({d!r}::DOUBLE, sum((c - b) * (b - a)) / nullif(sum((b - a) * (b - a)), 0))), 0) AS q
-  FROM j GROUP BY 1)
-SELECT graph, target, c * (1 + q / (1 - q)) - b * (q / (1 - q)) AS linked FROM j JOIN r USING (graph)""",
-                first,
-                second,
-                third,
-            )
-            last.append(name)
-    current = last[-1]
+    cte(f"{prefix}_nodes", f"SELECT graph, page_id FROM pg, (SELECT DISTINCT graph FROM {prefix}_m)", "pg", f"{prefix}_m")
+    cte(
+        f"{prefix}_all",
+        f"""SELECT graph, source, target, share FROM {prefix}_w
+UNION ALL SELECT graph, page_id, NULL, 1.0::DOUBLE FROM {prefix}_nodes ANTI JOIN (SELECT graph, source AS page_id FROM {prefix}_w) USING (graph, page_id)
+UNION ALL SELECT graph, page_id, page_id, 0.0::DOUBLE FROM {prefix}_nodes""",
+        f"{prefix}_w",
+        f"{prefix}_nodes",
+    )
     cte(
         f"{prefix}_rank",
-        f"""SELECT graph, page_id, round((coalesce(linked, 0) + 1) / ((total + n) / n), 9) / n AS score
-  FROM (SELECT graph, page_id FROM pg, (SELECT DISTINCT graph FROM {w})) LEFT JOIN (SELECT graph, target AS page_id, linked FROM {current}) USING (graph, page_id)
-  JOIN (SELECT graph, sum(linked) AS total FROM {current} GROUP BY 1) USING (graph),
-  (SELECT CAST(count(*) AS DOUBLE) AS n FROM pg)""",
+        f"""WITH RECURSIVE size AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM pg),
+steps AS (
+  SELECT 0 AS step, graph, page_id, 1.0::DOUBLE / n AS score FROM {prefix}_nodes, size
+  UNION ALL
+  SELECT step, graph, target, {1 - d!r}::DOUBLE / n + {d!r}::DOUBLE * (flow + coalesce(dead, 0) / n) FROM (
+    SELECT step, graph, target, flow, max(CASE WHEN target IS NULL THEN flow END) OVER (PARTITION BY graph) AS dead FROM (
+      SELECT s.step + 1 AS step, s.graph, a.target, sum(s.score * a.share) AS flow
+      FROM steps s JOIN {prefix}_all a ON a.graph = s.graph AND a.source = s.page_id WHERE s.step < {POWER_STEPS}
+      GROUP BY s.step, s.graph, a.target)), size WHERE target IS NOT NULL)
+SELECT graph, page_id, round(score * n, 8) / n AS score FROM steps, size WHERE step = {POWER_STEPS}""",
         "pg",
-        w,
-        current,
+        f"{prefix}_nodes",
+        f"{prefix}_all",
     )
 
 
@@ -299,7 +287,7 @@ def both_ways(edges: str, weight: str = "CAST(rule_weight AS DOUBLE)") -> str:
 
 
 SITE_EDGES = "SELECT 'site' AS variant, * FROM edges"
-add_rank("site", both_ways(SITE_EDGES), 65, "edges")
+add_rank("site", both_ways(SITE_EDGES), "edges")
 cte("scores", f"SELECT * EXCLUDE (variant) FROM ({_scores('site', SITE_EDGES)})", "site_rank", "edges")
 
 cte(
@@ -400,7 +388,7 @@ cte(
     "diversity",
 )
 SCENARIO_EDGES = "SELECT scenario AS variant, source_id, target_id, rule_weight FROM scen_edges"
-add_rank("scen", both_ways(SCENARIO_EDGES), 49, "scen_edges")
+add_rank("scen", both_ways(SCENARIO_EDGES), "scen_edges")
 cte("scen_scores", f"SELECT variant AS scenario, * EXCLUDE (variant) FROM ({_scores('scen', SCENARIO_EDGES)})", "scen_rank", "scen_edges")
 _A, _B, _C = [s.name for s in SCENARIOS]
 cte(

@@ -159,7 +159,12 @@ def filtered_csv_export(s: Site) -> DataFrame:
 
 
 add("crawl_csv_scan", crawl_csv_scan, f"SELECT {RAW} FROM raw", "raw")
-add("tree_json_scan", lambda s: s.trees.select("tree_id", F.to_json("tree").alias("tree")), None)
+add(
+    "tree_json_scan", lambda s: s.trees.select("tree_id", F.to_json("tree").alias("tree")),
+    """SELECT sha256(tree) AS tree_id, tree FROM (SELECT concat('{"', region_key, '":{"', nation_key, '":{"', customer_key, '":{"_meta":"', note,
+  '","', segment_key, '":"page"}}}}') AS tree FROM tree_pieces)""",
+    "tree_pieces",
+)
 add(
     "parquet_scan",
     lambda s: s.tables["lineitem"].where(F.col("l_returnflag") == "R").select("l_suppkey", "l_partkey"),
@@ -284,7 +289,7 @@ NORM = "link_type, from_host, to_host, from_path, to_path, block_type, is_follow
 add("links_normalized", lambda s: s.normalized, f"SELECT {NORM} FROM norm", "norm")
 add("infer_source_host", lambda s: cl.infer_source_host(s.normalized), "SELECT * FROM src", "src")
 add("links_internal_follow", lambda s: s.internal, "SELECT * FROM internal", "internal")
-add("pages_from_links", lambda s: cl.pages_from_links(cl.link_groups(s.internal)), "SELECT * FROM pg", "pg")
+add("pages_from_links", lambda s: cl.pages_from_links(s.groups), "SELECT * FROM pg", "pg")
 add(
     "link_id_lookup",
     lambda s: cl.link_id_lookup(s.groups, s.pages).select(

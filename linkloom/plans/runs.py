@@ -25,20 +25,18 @@ class RunOptions:
 
 
 def prepare_crawl(raw: DataFrame, workspace: Workspace, options: RunOptions = RunOptions()) -> None:
-    """Raw links -> ``link_groups``, ``pages``, ``edges``, ``anchor_candidates``.
+    """Raw links -> ``host_links``, ``pages``, ``edge_profiles``, ``edges``, ``anchor_candidates``.
 
-    The groups are written once, so everything after the two passes over the raw rows
-    (host, groups) works on distinct links.
+    The raw rows are read once: their distinct links are counted per host, which also tells the host.
+    Edges and candidates come from one grouping of these by (source, target, block).
     """
-    normalized = cl.links_normalized(raw)
-    host = cl.source_host(normalized, options.crawl.source_host)
-    groups = workspace.write("link_groups", cl.link_groups(cl.links_internal_follow(normalized, host)))
+    by_host = workspace.write("host_links", cl.host_links(cl.links_normalized(raw)))
+    groups = cl.link_groups(by_host, cl.source_host(by_host, options.crawl.source_host))
     pages = workspace.write("pages", cl.pages_from_links(groups))
-    identified = workspace.write("links_identified", cl.link_id_lookup(groups, pages))
-    edges = cl.link_edges_topk(cl.link_edges_agg(identified), options.crawl.max_out_links_per_page)
-    edges = workspace.write("edges", edges)
-    texts = cl.anchor_top_text(cl.anchor_text_counts(identified))
-    workspace.write("anchor_candidates", cl.anchor_candidates_links(texts, edges))
+    profiles = cl.edge_profiles(cl.link_id_lookup(groups, pages))
+    profiles = workspace.write("edge_profiles", cl.link_edges_topk(profiles, options.crawl.max_out_links_per_page))
+    workspace.write("edges", cl.profile_edges(profiles))
+    workspace.write("anchor_candidates", cl.profile_candidates(profiles))
 
 
 def score_site(workspace: Workspace, options: RunOptions = RunOptions()) -> None:

@@ -63,13 +63,21 @@ class Site:
     def normalized(self) -> DataFrame:
         return cl.links_normalized(self.raw_links)
 
+    @property
+    def host_links(self) -> DataFrame:
+        return self._stage("host_links", lambda: cl.host_links(self.normalized))
+
     @cached_property
+    def host(self) -> str:
+        return cl.source_host(self.host_links)
+
+    @property
     def internal(self) -> DataFrame:
-        return cl.links_internal_follow(self.normalized, cl.source_host(self.normalized))
+        return cl.links_internal_follow(self.normalized, self.host)
 
     @property
     def groups(self) -> DataFrame:
-        return self._stage("link_groups", lambda: cl.link_groups(self.internal))
+        return cl.link_groups(self.host_links, self.host)
 
     @property
     def pages(self) -> DataFrame:
@@ -79,17 +87,17 @@ class Site:
     def identified(self) -> DataFrame:
         return self._stage("links_identified", lambda: cl.link_id_lookup(self.groups, self.pages))
 
+    @property
+    def profiles(self) -> DataFrame:
+        return self._stage("edge_profiles", lambda: cl.link_edges_topk(cl.edge_profiles(self.identified)))
+
     @property
     def edges(self) -> DataFrame:
-        return self._stage("edges", lambda: cl.link_edges_topk(cl.link_edges_agg(self.identified)))
+        return self._stage("edges", lambda: cl.profile_edges(self.profiles))
 
     @property
     def candidates(self) -> DataFrame:
-        def make() -> DataFrame:
-            texts = cl.anchor_top_text(cl.anchor_text_counts(self.identified))
-            return cl.anchor_candidates_links(texts, self.edges)
-
-        return self._stage("anchor_candidates", make)
+        return self._stage("anchor_candidates", lambda: cl.profile_candidates(self.profiles))
 
     @property
     def scores(self) -> DataFrame:
@@ -206,63 +214,50 @@ class Site:
 
     @property
     def audits(self) -> DataFrame:
-        return self._stage("audits", self._audit_document)
+        return self._stage("audits", self._audit_documents)
+
+    def _audit_documents(self) -> DataFrame:
+        """Audit documents as (audit_id, audit): link rules a template, matrix cells a section, schemas a template.
 
-    def _audit_document(self) -> DataFrame:
-        """One JSON document from aggregated figures (as large as templates x sections x destinations)."""
+        None holds more than one template's sections or one section's destinations, so they are made and parsed in parallel.
+        """
         cells = self._input(inputs.AUDIT_CELLS)
         average = F.sum("links") / F.sum("files")
 
         def as_map(key: str, value: str):
             return F.map_from_entries(F.collect_list(F.struct(key, value)))
 
+        def documents(rows: DataFrame, part: str, key: str, value) -> DataFrame:
+            document = F.struct(F.create_map(F.col(key), value).alias(part))
+            return rows.select(F.concat(F.lit(f"{part} "), F.col(key)).alias("audit_id"), F.to_json(document).alias("audit"))
+
         detail = cells.where(F.col("section") != "A-F").groupBy("template", "section").agg(
             F.map_from_entries(
                 F.collect_list(F.struct("destination", (F.col("links") / F.col("files")).alias("v")))
             ).alias("avg_links_by_destination")
         )
-        sections = (
+        rules = (
             cells.groupBy("template", "section")
-            .agg(average.alias("avg_total_links"))
+            .agg(average.alias("avg_total_links"), F.sum("files").alias("files"))
             .join(detail, ["template", "section"], "left")
-            .select("template", "section", F.struct("avg_total_links", "avg_links_by_destination").alias("data"))
+            .select("template", "section", "files", F.struct("avg_total_links", "avg_links_by_destination").alias("data"))
             .groupBy("template")
-            .agg(as_map("section", "data").alias("sections"))
-        )
-        files = cells.groupBy("template").agg(F.sum("files").cast("int").alias("file_count"))
-        rules = (
-            sections.join(files, "template")
-            .select("template", F.struct("file_count", "sections").alias("rules"))
-            .agg(as_map("template", "rules").alias("linking_rules_per_template"))
+            .agg(F.sum("files").cast("int").alias("file_count"), as_map("section", "data").alias("sections"))
         )
         matrix = (
             cells.groupBy("section", "destination")
             .agg(average.alias("avg_links"))
             .groupBy("section")
             .agg(as_map("destination", "avg_links").alias("cells"))
-            .agg(as_map("section", "cells").alias("linking_matrix_section_x_destination"))
         )
-        schemas = (
-            self._input(inputs.AUDIT_SCHEMAS)
-            .groupBy("template")
-            .agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
-            .select(
-                "template",
-                F.struct(
-                    (F.size("kinds") > 1).alias("has_schema"),
-                    F.map_from_entries(F.transform("kinds", lambda k: F.struct(k.alias("key"), F.lit(1).alias("value")))).alias(
-                        "schemas_found"
-                    ),
-                ).alias("data"),
-            )
-            .agg(as_map("template", "data").alias("json_ld_diff"))
-        )
-        document = F.struct(
-            rules.scalar().alias("linking_rules_per_template"),
-            matrix.scalar().alias("linking_matrix_section_x_destination"),
-            schemas.scalar().alias("json_ld_diff"),
+        kinds = self._input(inputs.AUDIT_SCHEMAS).groupBy("template").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+        found = F.map_from_entries(F.transform("kinds", lambda k: F.struct(k.alias("key"), F.lit(1).alias("value"))))
+        schemas = F.struct((F.size("kinds") > 1).alias("has_schema"), found.alias("schemas_found"))
+        return (
+            documents(rules, "linking_rules_per_template", "template", F.struct("file_count", "sections"))
+            .unionByName(documents(matrix, "linking_matrix_section_x_destination", "section", F.col("cells")))
+            .unionByName(documents(kinds, "json_ld_diff", "template", schemas))
         )
-        return self.spark.range(1).select(F.lit("links").alias("audit_id"), F.to_json(document).alias("audit"))
 
     @property
     def anomaly_documents(self) -> DataFrame:

@@ -9,8 +9,9 @@ from linkloom.operators import marts, report
 from linkloom.operators.scoring import ScoreOptions, compute_pri, scores_normalize
 from linkloom.plans import runs
 from linkloom.schemas import PAGE_SEGMENTS, PRI_SCORES, SEGMENT_METRICS, URL_METRICS
-from linkloom.sources.crawl import crawl_csv_scan
+from linkloom.sources.crawl import EXPORT_COLUMNS, crawl_csv_scan
 from linkloom.sources.workspace import Workspace, export_workspace, run_log_append, scenario_table_scan
+from linkloom.storage import sql_settings
 
 HEADER = (
     "Type,From,To,Anchor Text,Alt Text,Follow,Target,Rel,Status Code,Status,Path Type,Link Path,Link Position,Link Origin,Size,Transferred"
@@ -175,10 +176,10 @@ def test_run_log(site, spark, folder):
 
 def test_host_choice(site, spark):
     raw = spark.createDataFrame([("x",) * 8], "type string, from_url string, to_url string, anchor_text string, alt_text string, follow string, status_code string, link_position string")
-    normalized = cl.links_normalized(raw)
+    by_host = cl.host_links(cl.links_normalized(raw))
     with pytest.raises(ValueError):
-        cl.source_host(normalized)
-    assert cl.source_host(normalized, " WWW.A.com ") == "www.a.com"
+        cl.source_host(by_host)
+    assert cl.source_host(by_host, " WWW.A.com ") == "www.a.com"
 
 
 def test_cap_and_top_text(spark):
@@ -186,3 +187,52 @@ def test_cap_and_top_text(spark):
     kept = cl.link_edges_topk(edges, 3).orderBy("target_id").collect()
     assert [r.target_id for r in kept] == [4, 9, 14]
     assert cl.link_edges_topk(edges, 0).count() == 38
+
+
+@pytest.mark.parametrize("split_bytes", [61, 250, 1 << 20])
+def test_line_breaks_in_quotes_across_splits(spark, tmp_path, split_bytes):
+    """Files cut into splits of a few bytes, against Python's csv module."""
+    import csv
+    import random
+
+    drawn = random.Random(split_bytes)
+    pieces = ["a", "b c", "\n", '"', ",", '""', "\n\n", "é", ' "x" ', "\r\n", "long words of text " * 3]
+    wanted = []
+    for number in range(3):
+        rows = [["".join(drawn.choice(pieces) for _ in range(drawn.randint(0, 4))) for _ in HEADER.split(",")] for _ in range(25)]
+        if number == 2:
+            rows = [["plain"] * len(row) for row in rows]
+        with (tmp_path / f"part-{number}.csv").open("w", newline="", encoding="utf-8") as out:
+            out.write(HEADER + "\n")
+            csv.writer(out, lineterminator="\r\n" if number == 1 else "\n", quoting=csv.QUOTE_ALL).writerows(rows)
+        wanted += rows
+    places = [HEADER.split(",").index(name) for name in EXPORT_COLUMNS]
+    expected = sorted([row[place].replace("\r\n", "\n") for place in places] for row in wanted)
+    with sql_settings(spark, {"spark.sql.files.maxPartitionBytes": str(split_bytes), "spark.sql.files.openCostInBytes": "1"}):
+        scanned = crawl_csv_scan(spark, str(tmp_path))
+        assert sorted(list(r) for r in scanned.collect()) == expected
+        assert split_bytes > 1000 or scanned.rdd.getNumPartitions() > 1
+
+
+def test_stray_and_unclosed_quotes(spark, tmp_path):
+    lines = [HEADER, 'Hyperlink,a,5" disk,x', 'Hyperlink,b,"two', 'lines",x', 'Hyperlink,c,"never closed,x', "Hyperlink,d,e,x"]
+    (tmp_path / "x.csv").write_text("\n".join(lines) + "\n")
+    rows = {r.from_url: r.to_url for r in crawl_csv_scan(spark, str(tmp_path / "x.csv")).collect()}
+    assert rows["a"] == '5" disk' and rows["b"] == "two\nlines" and rows["d"] == "e" and "c" in rows
+
+
+def test_profiles_agree_with_the_single_operators(spark):
+    rows = [("/a", f"/t{i % 5}", ("content", "footer")[i % 2], ("T1", "More", "t 1", "read more", "x")[i % 5 - i % 3], i % 4 + 1) for i in range(60)]
+    groups = spark.createDataFrame(rows, "from_path string, to_path string, block_type string, anchor_text string, instances long")
+    groups = groups.groupBy("from_path", "to_path", "block_type", "anchor_text").agg(F.sum("instances").alias("instances"))
+    pages = cl.pages_from_links(groups)
+    identified = cl.link_id_lookup(groups, pages)
+    edges = cl.link_edges_topk(cl.link_edges_agg(identified), 7)
+    profiles = cl.link_edges_topk(cl.edge_profiles(identified), 7)
+    plain = cl.anchor_candidates_links(cl.anchor_top_text(cl.anchor_text_counts(identified)), edges)
+
+    def values(df):
+        return sorted(map(str, df.collect()))
+
+    assert values(cl.profile_edges(profiles)) == values(edges) and len(values(edges)) == 7
+    assert values(cl.profile_candidates(profiles)) == values(plain)

@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from bench_graphs import ring_edges, ring_pages
 from linkloom.operators import block_edges as be
 from linkloom.operators import expansion as ex
 from linkloom.operators import rule_edges as ru
 from linkloom.operators.rank_iteration import RankOptions, rank_graphs
-from linkloom.operators.scoring import compute_pri
+from linkloom.operators.scoring import compute_pri, edge_id_validation, unknown_page_ids
 from linkloom.operators.url_tree import merge_trees, tree_flatten, tree_pages, tree_summary
 from linkloom.plans import runs
 from linkloom.sources.crawl import tree_json_lines_scan, tree_json_scan
@@ -114,35 +115,56 @@ def exact_rank(n, links, d=0.85):
     return np.linalg.solve(np.eye(n) - d * p.T, np.full(n, (1 - d) / n))
 
 
-@pytest.mark.parametrize("split", [1_000_000, 20])
-def test_rank_against_linear_algebra(spark, split):
+@pytest.mark.parametrize("per_partition", [100_000, 50, 7])
+def test_rank_against_linear_algebra(spark, per_partition):
     rng = np.random.default_rng(3)
     n = 60
     # Page 1 links to all pages and page 2 gets links from most; a third of the pages have no out-links.
     links = [(1, t, 1.0) for t in range(2, n + 1)] + [(int(s), 2, 0.5) for s in range(3, 40)]
     links += [(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(1, 40, 150), rng.integers(1, n + 1, 150), rng.random(150))]
+    # The second weighting lacks a part of the links and weighs some sources with nothing.
+    other = [(s, t, None if s == 5 else 0.0 if s == 6 else w * (s % 3 + 1)) for s, t, w in links]
+    rows = [(s, t, w, v) for (s, t, w), (_, _, v) in zip(links, other)]
     nodes = spark.range(1, n + 1).select(F.col("id").cast("int").alias("page_id"))
-    forward = spark.createDataFrame(links, "source int, target int, weight double")
-    both = forward.withColumn("graph", F.lit("f")).unionByName(
-        forward.select(F.col("target").alias("source"), F.col("source").alias("target"), "weight", F.lit("r").alias("graph"))
-    )
-    options = RankOptions(links_per_partition=50, split_links=split, tolerance=1e-12)
-    rows = rank_graphs(nodes, both, ["f", "r"], options).collect()
-    for graph, edges in (("f", links), ("r", [(t, s, w) for s, t, w in links])):
-        got = np.array([r.score for r in sorted(rows, key=lambda r: r.page_id) if r.graph == graph])
-        assert abs(got.sum() - 1) < 1e-8
-        assert np.abs(got - exact_rank(n, edges)).max() < 1e-9
+    table = spark.createDataFrame(rows, "source int, target int, w0 double, w1 double")
+    options = RankOptions(links_per_partition=per_partition, tolerance=1e-12)
+    got = rank_graphs(nodes, table, ["a", "b"], options).orderBy("page_id").collect()
+    for name, edges in (("a", links), ("b", [(s, t, w or 0.0) for s, t, w in other])):
+        for kind, turned in (("forward", edges), ("reverse", [(t, s, w) for s, t, w in edges])):
+            scores = np.array([r[f"{kind}_{name}"] for r in got])
+            assert abs(scores.sum() - 1) < 1e-6
+            assert np.abs(scores - exact_rank(n, turned)).max() < 1e-8
+
+
+def test_rank_rounds_and_failure(spark):
+    links = spark.createDataFrame([(i, (i * i + j) % (47 - i % 9), 1.0 + j) for i in range(50) for j in range(i % 4)], "source int, target int, w0 double")
+    nodes = spark.range(50).withColumnRenamed("id", "page_id")
+    many = rank_graphs(nodes, links, ["a"], RankOptions(tolerance=1e-13, steps_per_check=2)).orderBy("page_id").collect()
+    few = rank_graphs(nodes, links, ["a"], RankOptions(tolerance=1e-13, steps_per_check=12)).orderBy("page_id").collect()
+    assert many == few
+    with pytest.raises(RuntimeError, match="still change"):
+        rank_graphs(nodes, links, ["a"], RankOptions(tolerance=1e-30, max_iterations=4, steps_per_check=2))
+    assert rank_graphs(nodes, links, ["a"], RankOptions(tolerance=0, max_iterations=4)).count() == 50
 
 
 def test_rank_without_links(spark):
     nodes = spark.createDataFrame([(1,), (2,), (3,), (4,)], "page_id int")
-    links = spark.createDataFrame([], "graph string, source int, target int, weight double")
-    assert {r.score for r in rank_graphs(nodes, links, ["g"]).collect()} == {0.25}
+    links = spark.createDataFrame([], "source int, target int, w0 double")
+    assert {tuple(r)[1:] for r in rank_graphs(nodes, links, ["g"]).collect()} == {(0.25, 0.25)}
     assert rank_graphs(nodes.limit(0), links, ["g"]).count() == 0
 
 
+def test_edges_outside_the_page_table(spark):
+    pages = spark.createDataFrame([(1,), (2,)], "page_id long")
+    rows = [(1, 2, "a", 1.0), (1, 9, "a", 1.0), (9, 1, "b", 1.0), (8, 9, "a", 2.0), (8, 9, "a", 2.0), (1, 9, "a", 1.0)]
+    edges = spark.createDataFrame(rows, "source_id long, target_id long, block_type string, rule_weight double")
+    assert sorted(tuple(r) for r in edge_id_validation(edges, pages).collect()) == sorted(rows[1:])
+    assert {r.page_id for r in unknown_page_ids(edges, pages).collect()} == {8, 9}
+    assert edge_id_validation(edges.limit(1), pages).isEmpty()
+
+
 def test_ring(spark):
-    pages, edges = ex.ring_pages(spark, 500, 50), ex.ring_edges(spark, 500, 3000)
+    pages, edges = ring_pages(spark, 500, 50), ring_edges(spark, 500, 3000)
     assert edges.count() == 3000
     assert {(r.s, r.t) for r in edges.where("source_id <= 2").selectExpr("source_id s", "target_id t").collect()} == {
         (s, (s + 17 * k - 1) % 500 + 1) for s in (1, 2) for k in range(1, 7)
@@ -150,9 +172,9 @@ def test_ring(spark):
     scores = compute_pri(pages, edges).orderBy("page_id").collect()
     assert [r.rank for r in scores] == list(range(1, 501))
     assert all(abs(r.pri_score - 1 / 500) < 1e-12 for r in scores)
-    looped = ex.ring_edges(spark, 17, 40)  # every step leads back to its source
+    looped = ring_edges(spark, 17, 40)  # every step leads back to its source
     assert looped.count() == 0
-    assert ex.ring_edges(spark, 34, 100).count() == 34 * 2 and ex.ring_edges(spark, 0, 5).count() == 0
+    assert ring_edges(spark, 34, 100).count() == 34 * 2 and ring_edges(spark, 0, 5).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -225,6 +247,42 @@ def test_block_merge_and_empty(spark, template_pages):
     assert be.build_block_edges(template_pages, off).count() == 0
 
 
+@pytest.mark.parametrize("cap", [3, 8, 60])
+def test_blocks_in_place_agree_with_merged_links(spark, template_pages, cap):
+    """Lists per source page against the plain union of all links; hierarchy as heavy as blocks, so that children tie and overlap."""
+    listings = ["/c/", "/ck/", "/cl/", "homepage"]
+    blocks = {
+        "breadcrumb": be.Block(1.0, 5, ["/c/", "/cl/"]), "seo_top_filters": be.Block(0.7, 4, listings), "top_searches": be.Block(0.8, 2, listings),
+        "top_locations": be.Block(0.8, 3, ["/c/"]), "box_top_filters": be.Block(0.65, 2, ["/cl/"], enabled=cap != 8),
+        "footer_corporate": be.Block(0.15, 3, ["all"]),
+    }
+    # a page that is its parent's parent, and one that is its own parent
+    odd = spark.createDataFrame(
+        [(9001, "/x", "/y", 1, "x", "c:cars", "c_L1", True), (9002, "/y", "/x", 1, "y", "c:cars", "c_L1", True), (9003, "/z", "/z", 1, "z", "c:none", "c_L1", True)],
+        template_pages.schema,
+    )
+    pages = template_pages.unionByName(odd)
+    for options in (be.BlockOptions(blocks=blocks, max_out_links_per_page=cap), be.BlockOptions(max_out_links_per_page=cap, enable_cluster_peer=False)):
+        got = sorted(map(tuple, be.build_block_edges(pages, options).collect()))
+        want = sorted(map(tuple, be.block_dedup_cap(be.all_block_links(pages, options), cap).collect()))
+        assert len(got) > 100 or cap == 3 or not options.blocks
+        assert [r[:3] for r in got] == [r[:3] for r in want]
+        assert np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
+def test_places_in_several_lists(spark, monkeypatch):
+    rows = spark.createDataFrame([("a",), ("b",)], "category string")
+    places = spark.createDataFrame([("town", f"t{i}", i, f"c{i}") for i in range(1, 12)] + [("region", "r", 1, "x")], "kind string, place string, place_no int, code string")
+    want = {(c, f"t{i}", f"c{i}") for c in "ab" for i in range(1, 12)}
+    for together in (100, 4):
+        monkeypatch.setattr(ex, "PLACES_TOGETHER", together)
+        met = ex._with_places(rows, places, "town")
+        found = met.collect()
+        assert {tuple(r) for r in found} == want and len(found) == len(want)
+        assert together == 4 or "Exchange hashpartitioning" not in met._jdf.queryExecution().optimizedPlan().toString()
+        assert ex._with_places(rows, places, "department").isEmpty() and ex._with_places(rows, places, "town", 2).count() == 4
+
+
 def test_template_run(spark, template_pages, folder):
     workspace = Workspace(spark, folder)
     blocks = be.BlockOptions(blocks={"breadcrumb": be.Block(1.0, 5, ["/c/", "/cl/"])}, max_out_links_per_page=10)
