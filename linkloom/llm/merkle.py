@@ -92,15 +92,21 @@ class Forest:
     single: DataFrame
     tops: DataFrame
 
-    def paths(self, above: DataFrame) -> DataFrame:
+    def paths(self, above: DataFrame | None = None) -> DataFrame:
         """(tree, place, node, path, subroot) of every bottom node; ``above`` (tree, path, subroot) goes on from its top.
 
-        Goes down a level at a time: a parent is a top, or was reached in the step before.
+        Goes down a level at a time: a parent is a top, or was reached in the step before. Without ``above``, tops are roots.
         """
-        found = self.single.join(above, "tree").select("tree", "place", "node", "path", "subroot")
+
+        def from_top(rows: DataFrame) -> DataFrame:
+            if above is not None:
+                return rows.join(above, "tree")
+            return rows.withColumns({"path": F.array().cast("array<struct<left:string,right:string>>"), "subroot": F.lit("")})
+
+        found = from_top(self.single).select("tree", "place", "node", "path", "subroot")
         reached = None
         for pivot in reversed(self.pivots):
-            parents = pivot.where("size = 1").join(above, "tree")
+            parents = from_top(pivot.where("size = 1"))
             if reached is not None:
                 known = reached.select("tree", "place", "path", "subroot")
                 parents = parents.unionByName(pivot.where("size > 1").join(known, ["tree", "place"]))
@@ -172,9 +178,7 @@ def manifest(rows: DataFrame, group: Column, key: Column, leaf: Column, carried:
     )
     crown = build_forest(subroots, trees)
     root = crown.tops.first()  # one digest
-    no_path = F.array().cast("array<struct<left:string,right:string>>")
-    start = rows.sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), no_path.alias("path"), F.lit("").alias("subroot"))
-    above = crown.paths(start).select(F.col("place").alias("tree"), "path", F.col("node.digest").alias("subroot"))
+    above = crown.paths().select(F.col("place").alias("tree"), "path", F.col("node.digest").alias("subroot"))
     return forest.paths(above).select(
         *[F.col("node")[name].alias(name) for name in carried],
         F.col("node.digest").alias("leaf"),
