@@ -9,7 +9,8 @@ others and stays whole.
 
 Pages are counted over the whole host. A host of more than SHARD_PAGES pages is dealt out in shards: what the
 share of its pages hold, the same share of a shard's pages hold in one shard at least. So each shard
-names what is common in it, and only those strings are counted again, by all pages of the host.
+names what is common in it, and only those strings are counted again, by all pages of the host. Pages are read and parsed
+for each of these steps: strings and counts are written, page bodies are not.
 """
 
 from __future__ import annotations
@@ -239,59 +240,54 @@ def main_text(
     # as a stored table its size is known, so Spark broadcasts it only if it is small
     sizes = materialize(pages.groupBy(host.alias("_h")).agg(F.count(F.lit(1)).alias("_pages")).coalesce(1), "host-pages")
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parsed = [page_blocks(page or "") for page in batch.pop("_body")]
-            yield batch.assign(_blocks=parsed)
-
-    named = small_batches(pages).select(F.col(key).cast("long").alias("_key"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(body).cast("string").alias("_body"))
     draw = F.xxhash64("_key", "_url")
+    named = small_batches(pages).select(F.col(key).cast("long").alias("_key"), F.col(url).cast("string").alias("_url"), host.alias("_host"), F.col(body).cast("string").alias("_body"))
     sharded = named.join(sizes, F.col("_host") == F.col("_h")).withColumn(
         "_shard", F.pmod(draw, F.ceil(F.col("_pages") / F.lit(SHARD_PAGES)).cast("long"))
     )
-    parsed = sharded.select("_key", "_url", "_host", "_shard", "_pages", "_body").mapInPandas(
-        parse, "_key long, _url string, _host string, _shard long, _pages long, _blocks array<string>"
-    )
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parsed = [page_blocks(page or "") for page in batch.pop("_body")]
+            yield batch.assign(_blocks=parsed)
 
     def judge(group: pd.DataFrame) -> pd.DataFrame:
-        """Texts of a host that is one shard; of another's the blocks, and in the first row what is common in this shard."""
-        blocks, total = [list(b) for b in group["_blocks"]], int(group["_pages"].iloc[0])
-        made = group[["_key", "_url", "_host", "_pages"]].assign(_text=None, _found=None)
-        if total <= SHARD_PAGES:
-            kept = without_boilerplate(blocks, run, share, copied, least)
-            return made.assign(_text=["\n\n".join(b) for b in kept], _blocks=None)
-        common = strings_on_pages([page_strings(page, run)[0] for page in blocks], max(1, _share_of(len(blocks), share)))
-        return made.assign(_blocks=blocks, _found=[common.tolist() if n == 0 and len(common) else None for n in range(len(blocks))])
-
-    schema = "_key long, _url string, _host string, _pages long, _text string, _blocks array<string>, _found array<long>"
-    judged = materialize(parsed.groupBy("_host", "_shard").applyInPandas(lambda g: judge(g)[[c.split()[0] for c in schema.split(", ")]], schema), "html-shards")
-    named_strings = judged.where("_found is not null").select(F.col("_host").alias("_h"), F.explode("_found").alias("_string"))
-    asked = materialize(named_strings.groupBy("_h").agg(F.collect_set("_string").alias("_asked")), "html-asked")
+        """Strings common in a shard; a host of one shard is judged as a whole."""
+        total, blocks = int(group["_pages"].iloc[0]), [list(b) for b in group["_blocks"]]
+        needed = max(least if total <= SHARD_PAGES else 1, _share_of(len(blocks), share))
+        found = strings_on_pages([page_strings(page, run)[0] for page in blocks], needed)
+        return pd.DataFrame({"_h": group["_host"].iloc[0], "_string": found})
+
+    parsed = sharded.select("_host", "_shard", "_pages", "_body").mapInPandas(parse, "_host string, _shard long, _pages long, _blocks array<string>")
+    found = parsed.groupBy("_host", "_shard").applyInPandas(judge, "_h string, _string long")
+    asked = materialize(found.groupBy("_h").agg(F.collect_set("_string").alias("_asked")), "html-asked")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for (name, total), group in batch.groupby(["_host", "_pages"]):
+            for name, group in batch.groupby("_host"):
                 strings = np.sort(np.asarray(group["_asked"].iloc[0], dtype=np.int64))
                 holders = np.zeros(len(strings), dtype=np.int64)
-                for page in group["_blocks"]:
-                    holders += np.isin(strings, page_strings(list(page), run)[0])
-                yield pd.DataFrame({"_h": name, "_total": total, "_string": strings, "_n": holders})
+                for page in group["_body"]:
+                    holders += np.isin(strings, page_strings(page_blocks(page or ""), run)[0])
+                yield pd.DataFrame({"_h": name, "_string": strings, "_n": holders})
 
-    pages_asked = judged.where("_blocks is not null").join(asked, F.col("_host") == F.col("_h")).select("_host", "_pages", "_blocks", "_asked")
-    counts = pages_asked.mapInPandas(count, "_h string, _total long, _string long, _n long").groupBy("_h", "_total", "_string").agg(F.sum("_n").alias("_n"))
-    needed = F.greatest(F.lit(least), F.ceil(F.lit(float(share)) * F.col("_total") - F.lit(1e-9)))
-    common = materialize(counts.where(F.col("_n") >= needed).groupBy("_h").agg(F.collect_list("_string").alias("_common")), "html-common")
+    named_asked = named.join(asked, F.col("_host") == F.col("_h")).select("_host", "_body", "_asked")
+    counts = named_asked.mapInPandas(count, "_h string, _string long, _n long").groupBy("_h", "_string").agg(F.sum("_n").alias("_n"))
+    total = sizes.select(F.col("_h").alias("_name"), "_pages")
+    needed = F.greatest(F.lit(least), F.ceil(F.lit(float(share)) * F.col("_pages") - F.lit(1e-9)))
+    kept = counts.join(total, F.col("_h") == F.col("_name")).where(F.col("_n") >= needed)
+    common = materialize(kept.groupBy("_h").agg(F.collect_list("_string").alias("_common")), "html-common")
 
     def clean(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = []
-            for blocks, strings in zip(batch["_blocks"], batch["_common"], strict=True):
-                page = list(blocks)
-                kept = without_strings(page, *page_strings(page, run), np.asarray(strings, dtype=np.int64), run, copied)
-                texts.append("\n\n".join(kept))
-            yield pd.DataFrame({"_key": batch["_key"], "_url": batch["_url"], "_text": texts})
-
-    joined = judged.join(common, F.col("_host") == F.col("_h"), "left")
-    plain = joined.where("_common is null").select("_key", "_url", F.coalesce("_text", F.array_join("_blocks", "\n\n")).alias("_text"))
-    made = plain.unionByName(joined.where("_common is not null").select("_key", "_url", "_blocks", "_common").mapInPandas(clean, "_key long, _url string, _text string"))
+            for page, strings in zip(batch.pop("_body"), batch.pop("_common"), strict=True):
+                blocks = page_blocks(page or "")
+                if strings is not None:
+                    blocks = without_strings(blocks, *page_strings(blocks, run), np.asarray(strings, dtype=np.int64), run, copied)
+                texts.append("\n\n".join(blocks))
+            yield batch.assign(_text=texts)
+
+    joined = named.join(common, F.col("_host") == F.col("_h"), "left").select("_key", "_url", "_body", "_common")
+    made = joined.mapInPandas(clean, "_key long, _url string, _text string")
     return made.select(F.col("_key").alias(key), F.col("_url").alias(url), F.col("_text").alias("text"), F.length("_text").cast("long").alias("n_chars"))
