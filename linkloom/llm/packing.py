@@ -12,6 +12,7 @@ padding. No row is shuffled, and a task that runs again packs its own rows alike
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -24,7 +25,8 @@ from pyspark.sql import functions as F
 
 from linkloom.llm.common import small_batches
 
-CACHED_WORDS = 60_000
+#: Words and pieces kept by a worker; some 200 bytes each.
+CACHED_WORDS, CACHED_PIECES = 300_000, 200_000
 _tokenizers: dict[str, object] = {}
 
 
@@ -40,12 +42,21 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
+#: Words of one piece.
+LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Texts on which the short way is held against the whole tokenizer when a file is loaded.
+PROBES = [
+    "a", "The quick Fox's", "it'll WE'VE don't", "x1y22 3,14", "(a) [b] {c}; d: e!?", "naïve Été ÀÖØÞ ß ÿ", "a  b\n\tc \r d", "!!## $$", "¡hola! 日本 e\u0301", "...", "'s 's's",
+]
+
+
 class WordTokenizer:
     """Ids of a lower-casing byte-level tokenizer that drops white space, so words can be encoded one by one.
 
-    The first ``CACHED_WORDS`` words and as many pieces are kept, so a text is mostly look-ups. Words of
+    The first ``CACHED_WORDS`` words and ``CACHED_PIECES`` pieces are kept, so a text is mostly look-ups. Words of
     plain letters, digits and signs go to the vocabulary's merges piece by piece, which saves most of
-    the time; all others, and those that may hold a special token, go through the whole tokenizer.
+    the time; all others, and those that may hold a special token, go through the whole tokenizer. A file
+    whose tokenizer is of another kind is told by a few probes, and then encodes all texts as a whole.
     """
 
     def __init__(self, path: str):
@@ -55,32 +66,51 @@ class WordTokenizer:
         self.merges = self.tokenizer.model
         self.known: dict[bytes, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        self.letters = byte_letters()
+        self.letters = {b: letter for b, letter in enumerate(byte_letters()) if letter != chr(b)}
+        try:
+            self.by_word = all(self._by_word(text.encode()) == self._whole(text) for text in PROBES)
+        except Exception:  # merges that don't take bare pieces
+            self.by_word = False
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _merged(self, piece: str) -> bytes:
+        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens]) if (tokens := self.merges.tokenize(spelled)) else b""
 
     def _piece(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else "".join(self.letters[b] for b in piece.encode())
-        made = np.array([token.id for token in self.merges.tokenize(spelled)], dtype="<u4").tobytes()
-        if len(self.pieces) < CACHED_WORDS:
+        made = self._merged(piece)
+        if len(self.pieces) < CACHED_PIECES:
             self.pieces[piece] = made
         return made
 
     def _encode(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if len(text) <= 64 and "<|" not in text and PLAIN.fullmatch(text):
+        if len(text) > 64:
+            return self._whole(text)
+        if LETTERS.fullmatch(text):
+            piece = text.lower()
+            made = self.pieces.get(piece) or self._merged(piece)
+        elif "<|" not in text and PLAIN.fullmatch(text):
             made = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text.lower())])
-            if len(self.known) < CACHED_WORDS:
-                self.known[word] = made
-            return made
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        else:
+            return self._whole(text)
+        if len(self.known) < CACHED_WORDS:
+            self.known[word] = made
+        return made
 
-    def ids(self, text: bytes) -> bytes:
-        """Little-endian 32-bit ids of the text."""
+    def _by_word(self, text: bytes) -> bytes:
         words = text.split()
         found = list(map(self.known.get, words))
         if None in found:
             found = [self._encode(word) if ids is None else ids for word, ids in zip(words, found, strict=True)]
         return b"".join(found)
 
+    def ids(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of the text."""
+        return self._by_word(text) if self.by_word else self._whole(text.decode("utf-8", "replace"))
+
 
 def tokenizer_of(path: str) -> WordTokenizer:
     if path not in _tokenizers:
