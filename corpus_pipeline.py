@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkloom.llm import language_id, line_dedup, mixing, packing, simhash
@@ -18,31 +18,50 @@ from linkloom.llm.queries import tokenizer_path
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: A prediction of at least this score sets a document's language, whatever it says itself.
+SURE = 0.5
+#: Column that holds all columns a stage doesn't work on, so that none can clash with an operator's own.
+REST = "_rest"
+
+
+def _apart(docs: DataFrame, *needed: str) -> DataFrame:
+    """The ``needed`` columns, and all others in one struct."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in needed]
+    return docs.select(*needed, F.struct(*others, F.lit(0).alias("_")).alias(REST))
+
+
+def _together(made: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The documents' columns again, in their order: changed ones, those worked on, those put aside."""
+    held = set(made.schema[REST].dataType.names)
+    values = [changed[c] if c in changed else F.col(REST)[c] if c in held else F.col(f"`{c}`") for c in columns]
+    return made.select(*[value.alias(c) for value, c in zip(values, columns, strict=True)])
+
+
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter in the text) go; the others keep the lang they have, or get the one found."""
-    columns = docs.columns
-    labelled = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 0)
-    model = language_id.fit(labelled, "text", "lang", F.col("doc_id"))
-    found = language_id.identify(docs, model).where("lang_pred <> 'und'")
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*columns)
+    """Documents without a language (no letter in the text) go; the others get the language found, if it is sure or they have none."""
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
+    parted = _apart(docs, "doc_id", "text", "lang")
+    model = language_id.fit(parted.where(~held_out), "text", "lang", F.col("doc_id"))
+    found = language_id.identify(parted, model).where("lang_pred <> 'und'")
+    lang = F.when((F.col("score") >= SURE) | F.col("lang").isNull(), F.col("lang_pred")).otherwise(F.col("lang"))
+    return _together(found, docs.columns, lang=lang)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; a document that loses all its words goes."""
-    made = line_dedup.drop_repeated_lines(docs)
+    made = line_dedup.drop_repeated_lines(_apart(docs, "doc_id", "text"))
     kept = made.where((F.col("n_dropped") == 0) | (word_count(F.col("kept_text")) > 0))
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    return _with_text(kept, text, docs.columns)
+    return _with_text(kept, F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text")), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    return _together(simhash.deduplicated(_apart(docs, "doc_id", "text")), docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, in training order."""
-    mixed = mixing.mixed_documents(docs, word_count(F.col("text")))
+    mixed = mixing.mixed_documents(_apart(docs, "doc_id", "source", "text"), word_count(F.col("text")))
     return _with_text(mixed, F.col("text"), docs.columns)
 
 
@@ -51,9 +70,8 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return packing.pack(docs, tokenizer_path())
 
 
-def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
-    count = F.length(text).cast("long")
-    return docs.select(*[text.alias("text") if c == "text" else count.alias("n_chars") if c == "n_chars" else F.col(c) for c in columns])
+def _with_text(made: DataFrame, text: Column, columns: list[str]) -> DataFrame:
+    return _together(made, columns, text=text, n_chars=F.length(text).cast("long"))
 
 
 STAGES: list[tuple[str, Stage]] = [
