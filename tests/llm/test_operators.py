@@ -404,3 +404,37 @@ def test_pipeline_stages_keep_columns(spark, docs):
             table = out
     kept = {r["doc_id"] for r in table.collect()}
     assert 0 not in kept and 4 not in kept and 11 in kept
+
+
+CLASHES = (
+    "score size target taken placements n_lines n_dropped kept_text lang_pred source_size slot _id _fp _n _f _s _slot _source _placed _made "
+    "_losses _losing _root fingerprint component_id _size _spread _bucket _start _rest _key label features"
+).split()
+
+
+def test_pipeline_stages_keep_the_values_of_clashing_columns(spark, docs):
+    import corpus_pipeline
+
+    plain = docs.drop("_root", "size").where("doc_id is not null").dropDuplicates(["doc_id"])
+    table = plain.select("*", *[F.concat(F.lit(f"{name} "), "doc_id").alias(name) for name in CLASHES], F.lit(1).alias("a.b"))
+    columns = table.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        table = stage(spark, table, "/root/testdata/sf0.001")
+        assert table.columns == columns, name
+        rows = table.collect()
+        assert rows, name
+        for r in rows:
+            assert [r[c] for c in CLASHES] == [f"{c} {r['doc_id']}" for c in CLASHES] and r["a.b"] == 1, name
+        table = spark.createDataFrame(rows, table.schema)
+
+
+def test_pipeline_languages_follow_sure_predictions(spark):
+    import corpus_pipeline
+
+    english = "the cat and the dog are with him and her, that is what they have this was "
+    french = "les chats et les chiens sont dans le jardin avec elle, une maison pour vous est "
+    rows = [(i, (english if i % 2 else french) * (i % 4 + 2), "en" if i % 2 else "fr", "s", 0) for i in range(200)]
+    wrong = [(1000, english * 3, "fr", "s", 0), (1001, french * 3, None, "s", 0), (1002, "123", "en", "s", 0)]
+    docs = spark.createDataFrame(rows + wrong, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+    assert got[1000] == "en" and got[1001] == "fr" and 1002 not in got and got[1] == "en" and got[2] == "fr"
