@@ -68,7 +68,7 @@ def infer_anchor_type(anchor: Column, target_path: Column) -> Column:
 
 def anchor_token_count(anchor: Column) -> Column:
     """Pieces between single spaces; empty pieces count, so ``''`` has one."""
-    return F.size(F.split(anchor, " ", -1)).cast("short")
+    return F.size(F.split(anchor, " ", -1)).cast("int")
 
 
 def scenario_selector(source_id: Column, target_id: Column, block_type: Column) -> Column:

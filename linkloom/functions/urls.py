@@ -73,7 +73,7 @@ def parent_path(path: Column) -> Column:
 
 
 def path_depth(path: Column) -> Column:
-    return F.when(path == ROOT, F.lit(0)).otherwise(F.size(_pieces(path))).cast("short")
+    return F.when(path == ROOT, F.lit(0)).otherwise(F.size(_pieces(path))).cast("int")
 
 
 def path_section(path: Column) -> Column:

@@ -55,7 +55,7 @@ def tree_flatten(trees: DataFrame) -> DataFrame:
         "tree_id",
         "path",
         "parent_path",
-        F.size(pieces).cast("short").alias("depth"),
+        F.size(pieces).cast("int").alias("depth"),
         section.alias("section"),
         F.concat_ws(":", section, second).alias("cluster_thematique"),
         "is_leaf",

@@ -70,7 +70,7 @@ def anchor_type(anchor: str, lab: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"CAST(len(string_split({x}, ' ')) AS SMALLINT)"
+    return f"CAST(len(string_split({x}, ' ')) AS INTEGER)"
 
 
 def selector(source: str = "source_id", target: str = "target_id", block_type: str = "block_type") -> str:
@@ -88,7 +88,7 @@ def pieces(x: str) -> str:
 
 
 def depth(x: str) -> str:
-    return f"CAST(CASE WHEN {x} = '/' THEN 0 ELSE len({pieces(x)}) END AS SMALLINT)"
+    return f"CAST(CASE WHEN {x} = '/' THEN 0 ELSE len({pieces(x)}) END AS INTEGER)"
 
 
 def section(x: str) -> str:
@@ -404,7 +404,7 @@ FROM (SELECT page_id, """
 cte(
     "tree_nodes",
     """WITH keyed AS (SELECT *, concat(nation_key, '/') AS n2, concat(customer_key, '/') AS c2 FROM tree_pieces)
-SELECT path, parent_path, CAST(d AS SMALLINT) AS depth, section, cluster_thematique, is_leaf FROM (
+SELECT path, parent_path, CAST(d AS INTEGER) AS depth, section, cluster_thematique, is_leaf FROM (
 SELECT region_key AS path, CAST(NULL AS VARCHAR) AS parent_path, 1 AS d, false AS is_leaf, region_key, nation_key FROM keyed
 UNION ALL SELECT concat(region_key, n2), region_key, 2, false, region_key, nation_key FROM keyed
 UNION ALL SELECT concat(region_key, n2, c2), concat(region_key, n2), 3, false, region_key, nation_key FROM keyed
@@ -505,7 +505,7 @@ FROM keywords, places WHERE kind = 'region'""",
 cte(
     "xp",
     """SELECT CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS page_id, path, parent_path,
-  CAST(len(list_filter(string_split(path, '/'), lambda p: p <> '')) AS SMALLINT) AS depth,
+  CAST(len(list_filter(string_split(path, '/'), lambda p: p <> '')) AS INTEGER) AS depth,
   coalesce(nullif(string_split(path, '/')[2], ''), 'root') AS section, cluster_thematique, template, true AS is_leaf
 FROM (SELECT path, m.template AS template, m.parent_path AS parent_path, m.cluster_thematique AS cluster_thematique FROM
   (SELECT path, min({'template': template, 'parent_path': parent_path, 'cluster_thematique': cluster_thematique}) AS m FROM

@@ -28,6 +28,7 @@ from linkloom.operators import verticals as ve
 from linkloom.plans import oracle as o
 from linkloom.plans.runs import RunOptions, run_record
 from linkloom.plans.site import BLOCKS, EXPANSION, SCORE, Site, site_of
+from linkloom.schemas import ANCHOR_CANDIDATES, PAGES, conform
 from linkloom.sources import crawl as src
 from linkloom.sources import workspace as ws
 from linkloom.storage import new_folder
@@ -181,6 +182,15 @@ UNION ALL SELECT 'segment_metrics', count(*) FROM segm UNION ALL SELECT 'scenari
 UNION ALL SELECT 'scenario_pri', count(*) FROM scen_scores UNION ALL SELECT 'scenario_comparison', count(*) FROM cmp""",
     "pg", "edges", "scores", "cands", "seg", "plain", "segm", "scen_edges", "scen_scores", "cmp",
 )
+def exported(s: Site, name: str, contract: dict[str, str]) -> DataFrame:
+    """A table's CSV as read back."""
+    path = new_folder(s.spark, f"export-{name}")
+    ws.csv_export(getattr(s, name), path)
+    return conform(ws.csv_table(s.spark, path), contract)
+
+
+add("csv_export_pages", lambda s: exported(s, "pages", PAGES), "SELECT * FROM pg", "pg")
+add("csv_export_candidates", lambda s: exported(s, "candidates", ANCHOR_CANDIDATES), "SELECT * FROM cands", "cands", f="rule_weight")
 add(
     "run_log_append",
     run_log_append,
@@ -445,6 +455,13 @@ FROM (SELECT page_id, pri_score, CAST(row_number() OVER (ORDER BY pri_score DESC
     "scores", d="pri_score cheirank_score juice_potential_score",
 )
 
+add(
+    "scores_normalize_degrees", lambda s: sc.scores_normalize(s.scores.select("page_id", "pri_score", "cheirank_score", "out_degree", "in_degree")),
+    """SELECT page_id, pri_score, rank, cheirank_score, cheirank_rank, juice_potential_score, out_degree, in_degree, is_low_power, can_give_juice
+FROM scores""",
+    "scores", d="pri_score cheirank_score juice_potential_score",
+)
+
 # 2.8 Marts.
 
 add("link_stats", lambda s: marts.link_stats(s.pages, s.edges), "SELECT * FROM stats", "stats", d="outgoing_weight incoming_weight")

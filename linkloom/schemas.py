@@ -9,7 +9,7 @@ PAGES = {
     "page_id": "bigint",
     "path": "string",
     "parent_path": "string",
-    "depth": "smallint",
+    "depth": "int",
     "section": "string",
     "cluster_thematique": "string",
     "is_leaf": "boolean",
@@ -18,7 +18,7 @@ TEMPLATE_PAGES = {
     "page_id": "bigint",
     "path": "string",
     "parent_path": "string",
-    "depth": "smallint",
+    "depth": "int",
     "section": "string",
     "cluster_thematique": "string",
     "template": "string",
@@ -29,7 +29,7 @@ ANCHOR_CANDIDATES = {
     **EDGES,
     "anchor_type": "string",
     "anchor_text": "string",
-    "anchor_token_count": "smallint",
+    "anchor_token_count": "int",
 }
 SCENARIO_EDGES = {
     **EDGES,
@@ -52,7 +52,7 @@ PRI_SCORES = {
 URL_METRICS = {
     "page_id": "bigint",
     "path": "string",
-    "depth": "smallint",
+    "depth": "int",
     "pri_score": "double",
     "rank": "bigint",
     "cheirank_score": "double",
@@ -77,7 +77,7 @@ PAGE_SEGMENTS = {
     "segment": "string",
     "segment_path": "string",
     "parent_segment_path": "string",
-    "depth": "smallint",
+    "depth": "int",
     "is_terminal": "boolean",
 }
 SEGMENT_METRICS = {
