@@ -35,6 +35,7 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # no Python call site is looked up for each column
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
