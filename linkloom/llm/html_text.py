@@ -3,9 +3,10 @@
 Elements that never hold the article are left out by name, role or class. The blocks that remain of a
 page are concatenated to one token stream, and each place of it gets the hash of the ``run`` tokens from
 there on. A string that a good share of a host's pages hold is boilerplate: the tokens that it covers
-go, and the unique runs of their blocks stay. Blocks that shorter common strings cover from end to end, and
-short blocks common as they are, go as well. A page of which more than half is covered is a copy of
-others and stays whole.
+go where they reach a bound of their block, and the unique runs of the block stay; inside a sentence they are
+quotations and stay. Blocks that shorter common strings cover from end to end, and short blocks common as
+they are, go as well. A page on which no unique run of ``run`` tokens would stay is a copy of others, edited here
+and there perhaps, and stays whole.
 
 Pages are counted over the whole host. A host of more than SHARD_PAGES pages is dealt out in shards: what the
 share of its pages hold, the same share of a shard's pages hold in one shard at least. So each shard
@@ -43,6 +44,13 @@ NOISE_WORDS = set(
     "footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related "
     "replies share sharing sidebar signup skip social sponsor sponsored subscribe toc toolbar widget".split()
 )
+#: Words that may stand beside those in a name; any other word ("ad-hoc-analysis", "social-security") makes it an article's own.
+BESIDE_WORDS = set(
+    "area bar body bottom box btn button buttons col column container content desktop fixed global header inner item items js left link links list "
+    "main mobile module outer overlay page panel post posts right rail row secondary section site slot sticky top ui unit wrap wrapper zone".split()
+)
+#: Their ids are link targets within an article, not names of parts of the page.
+FLOW = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "blockquote", "pre", "figure", "figcaption", "a", "span"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"}
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
@@ -64,14 +72,21 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+def _tells_noise(name: str) -> bool:
+    """Whether a class or id is made of words for parts beside the article, and of words that go with them."""
+    words = [word for word in WORDS.findall(name) if len(word) > 1 and not word.isdigit()]
+    return any(word in NOISE_WORDS for word in words) and all(word in NOISE_WORDS or word in BESIDE_WORDS for word in words)
+
+
 def _is_noise(name: str, attributes: dict[str, str], in_article: bool) -> bool:
     if name in NOISE or (name == "header" and not in_article):
         return True
-    if name in ("html", "body", "article", "main") and not any("comment" in attributes.get(what, "") for what in ("class", "id")):
+    told = attributes.get("class", "").split() + (attributes.get("id", "").split() if name not in FLOW else [])
+    if name in ("html", "body", "article", "main") and not any(x in ("comment", "comments") for n in told for x in WORDS.findall(n)):
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role") in NOISE_ROLES:
         return True
-    return any(not NOISE_WORDS.isdisjoint(WORDS.findall(attributes.get(what, ""))) for what in ("class", "id"))
+    return any(_tells_noise(one) for one in told)
 
 
 def page_blocks(page: str) -> list[str]:
@@ -172,11 +187,12 @@ def strings_on_pages(pages: list[np.ndarray], needed: int) -> np.ndarray:
     return values[counts >= needed]
 
 
-def without_strings(blocks: list[str], strings: np.ndarray, kinds: list[int], common: np.ndarray, run: int, copied: float) -> list[str]:
+def without_strings(blocks: list[str], strings: np.ndarray, kinds: list[int], common: np.ndarray, run: int) -> list[str]:
     """A page without what its common strings cover.
 
-    Runs of ``run`` tokens go wherever they are, and the rest of their blocks stays. Blocks that shorter
-    strings cover from end to end go as well, as do short blocks that are common as they are.
+    Covered runs of ``run`` tokens and more go if they begin or end their block, and the rest of the block stays.
+    Blocks that shorter strings cover from end to end go as well, as do short blocks that are common as they are.
+    Where no ``run`` tokens in a row are the page's own, it stays whole.
     """
     short = min(run, 4)
     known = np.isin(strings, common)
@@ -194,30 +210,35 @@ def without_strings(blocks: list[str], strings: np.ndarray, kinds: list[int], co
         at += count
     runs, either = masks[1], masks[0] | masks[1]
     alone = iter(known[at:].tolist())
-    kept, gone, at = [], 0, 0
+    kept, gone, at = [], np.zeros(size, dtype=bool), 0
     for block, own in zip(blocks, words, strict=True):
         part = slice(at, at + len(own))
         at += len(own)
         whole = len(own) < short and next(alone)
         if whole or either[part].all():
-            gone += len(own)
+            gone[part] = True
         elif runs[part].any():
-            gone += int(runs[part].sum())
-            kept.append(" ".join(word for word, out in zip(own, runs[part].tolist(), strict=True) if not out))
+            unique = np.flatnonzero(~runs[part])
+            first = unique[0] if len(unique) else len(own)
+            last = unique[-1] + 1 if len(unique) else len(own)
+            gone[part.start : part.start + first] = gone[part.start + last : part.stop] = True
+            kept.append(" ".join(own[first:last]))
         else:
             kept.append(block)
-    return blocks if gone > copied * size else kept
+    bounds = np.flatnonzero(np.diff(np.concatenate([[True], gone | runs, [True]])))
+    longest = (bounds[1::2] - bounds[::2]).max(initial=0)
+    return kept if longest >= run else blocks
 
 
 def _share_of(pages: int, share: float) -> int:
     return int(np.ceil(share * pages - 1e-9))
 
 
-def without_boilerplate(blocks: list[list[str]], run: int, share: float, copied: float, least: int) -> list[list[str]]:
+def without_boilerplate(blocks: list[list[str]], run: int, share: float, least: int) -> list[list[str]]:
     """The blocks of each page of a host, without boilerplate."""
     strings = [page_strings(page, run) for page in blocks]
     common = strings_on_pages([values for values, _ in strings], max(least, _share_of(len(blocks), share)))
-    return [without_strings(page, *found, common, run, copied) for page, found in zip(blocks, strings, strict=True)]
+    return [without_strings(page, *found, common, run) for page, found in zip(blocks, strings, strict=True)]
 
 
 def main_text(
@@ -227,7 +248,6 @@ def main_text(
     body: str = "html",
     run: int = 8,
     share: float = 0.5,
-    copied: float = 0.5,
     least: int = 3,
 ) -> DataFrame:
     """key, url, text and n_chars (code points), a row per row of ``pages``.
@@ -284,7 +304,7 @@ def main_text(
             for page, strings in zip(batch.pop("_body"), batch.pop("_common"), strict=True):
                 blocks = page_blocks(page or "")
                 if strings is not None:
-                    blocks = without_strings(blocks, *page_strings(blocks, run), np.asarray(strings, dtype=np.int64), run, copied)
+                    blocks = without_strings(blocks, *page_strings(blocks, run), np.asarray(strings, dtype=np.int64), run)
                 texts.append("\n\n".join(blocks))
             yield batch.assign(_text=texts)
 

@@ -11,12 +11,12 @@ group, so groups of copies of any size give rows in proportion.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkloom.llm.blocks import block_pairs
@@ -129,8 +129,10 @@ def link_fingerprints(prints: DataFrame, radius: int) -> DataFrame:
     return grouped.select(*flat).mapInPandas(search, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, width: int = 4) -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id and _fp, _root, a row per row of ``docs``.
+def near_duplicates(
+    docs: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, width: int = 4, carried: Sequence[Column] = ()
+) -> DataFrame:
+    """key, fingerprint (16 hex digits), component_id and _fp, _root, a row per row of ``docs``; then the ``carried`` columns.
 
     component_id is the least id reachable by links of at most ``radius`` bits, itself included; rows
     without an id don't count for it, unless a component has no other. Null and empty texts and texts
@@ -143,14 +145,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", ra
         values = np.fromiter((fingerprint(b, width) for b in bodies), dtype=np.uint64, count=len(bodies))
         return pd.Series(values.view(np.int64))
 
-    rows = materialize(small_batches(docs).select(F.col(key).alias("_id"), fingerprints(F.col(text).cast("binary")).alias("_fp")), "fingerprints")
+    rows = materialize(small_batches(docs).select(F.col(key).alias("_id"), fingerprints(F.col(text).cast("binary")).alias("_fp"), *carried), "fingerprints")
     classes = materialize(rows.groupBy("_fp").agg(F.min("_id").alias("_least")), "classes")
     roots = connected_components(link_fingerprints(classes.select(F.col("_fp").alias("fp")), radius))
     rooted = classes.join(roots, F.col("_fp") == F.col("node"), "left").select("_fp", "_least", F.coalesce("root", "_fp").alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_least").alias("component_id"))
     known = rooted.join(least, "_root").select(F.col("_fp").alias("_f"), "_root", "component_id")
     return rows.join(known, F.col("_fp") == F.col("_f")).select(
-        F.col("_id").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_fp", "_root"
+        F.col("_id").alias(key), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id", "_fp", "_root", *rows.columns[2:]
     )
 
 
@@ -159,16 +161,13 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id", **opt
 
     Returns the columns of ``docs``. Of rows that share an id and a group one stays.
     """
-    marked = near_duplicates(docs, text, key, **options).where(F.col(key).eqNullSafe(F.col("component_id")))
-    chosen = marked.select(F.col(key).alias("_id"), "_fp", "_root").distinct()
-    one = Window.partitionBy("_id", "_root").orderBy("_fp")
-    chosen = chosen.withColumn("_n", F.row_number().over(one)).where("_n = 1").select("_id", F.col("_fp").alias("_f"))
-
-    @F.pandas_udf("long")
-    def fingerprints(bodies: pd.Series) -> pd.Series:
-        values = np.fromiter((fingerprint(b, options.get("width", 4)) for b in bodies), dtype=np.uint64, count=len(bodies))
-        return pd.Series(values.view(np.int64))
-
-    kept = docs.join(chosen, F.col(key).eqNullSafe(F.col("_id"))).withColumn("_fp", fingerprints(F.col(text).cast("binary")))
-    same = Window.partitionBy("_id", "_fp").orderBy(F.xxhash64(text), text)
-    return kept.where("_fp = _f").withColumn("_n", F.row_number().over(same)).where("_n = 1").select(*docs.columns)
+    # id and text hash tell rows apart, so fingerprints are made once and rows without an id are no hot key
+    told = [F.coalesce(F.col(key).cast("string"), F.lit("")), F.col(key).isNull(), F.xxhash64(F.col(text))]
+    marked = near_duplicates(docs, text, key, carried=[told[2].alias("_hash")], **options).where(F.col(key).eqNullSafe(F.col("component_id")))
+    least = marked.groupBy(F.col(key).alias("_id"), "_root").agg(F.min("_hash").alias("_hash"))
+    names = ["_id", "_none", "_hash"]
+    chosen = least.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), F.col("_id").isNull().alias("_none"), "_hash").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), *[c.alias(n) for c, n in zip(told, names, strict=True)])
+    same = Window.partitionBy(*names).orderBy(F.col("_row")[text])
+    kept = rows.join(chosen, names).withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
