@@ -975,7 +975,13 @@ UNION ALL SELECT 'segment_metrics', count(*) FROM segm UNION ALL SELECT 'scenari
 UNION ALL SELECT 'scenario_pri', count(*) FROM scen_scores UNION ALL SELECT 'scenario_comparison', count(*) FROM cmp""",
     "pg", "edges", "scores", "cands", "seg", "plain", "segm", "scen_edges", "scen_scores", "cmp",
 )
-add("report_kpis_json", lambda s: rp.kpis_as_json(rp.report_kpis(s.pages, s.edges, s.scores, s.candidates)), None)
+add(
+    "report_kpis_json",
+    lambda s: rp.kpis_as_json(rp.report_kpis(s.pages, s.edges, s.scores, s.candidates).withColumn("value", F.round("value", 6))),
+    f"""SELECT CAST(to_json(list(struct_pack(metric := metric, name := name, value := round(value, 6)) ORDER BY metric, name)) AS VARCHAR) AS kpis
+FROM ({KPIS})""",
+    "pg", "edges", "scores", "cands",
+)
 BEST = "page_id, path, pri_score, rank, cheirank_score, cheirank_rank"
 add(
     "filtered_top_pages", lambda s: se.top_pages(selected(s), 20).select(*BEST.split(", ")), f"SELECT {BEST} FROM ({SELECTED}) ORDER BY pri_score DESC, page_id LIMIT 20",

@@ -40,7 +40,7 @@ def test_kpis_are_one_json_row(spark):
     assert len(rows) == 1 and "anchor_candidate_count" in rows[0]["kpis"]
 
 
-@pytest.mark.parametrize("key", ["report_export_counts", "filtered_top_pages", "filtered_page"])
+@pytest.mark.parametrize("key", ["report_export_counts", "filtered_top_pages", "filtered_page", "report_kpis_json", "tree_json_scan"])
 def test_report_part(spark, key):
     test_query(spark, key)
 
