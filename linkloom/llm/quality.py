@@ -93,10 +93,10 @@ def host_verdicts(measures: DataFrame, host: str, max_rate: float) -> DataFrame:
     )
     rate = {name: F.col(name) / F.col("host_docs") for name in RULES}
     moments = counts.agg(*[f(rate[n]).alias(f"{k}_{n}") for n in RULES for k, f in (("mean", F.avg), ("spread", F.var_samp))])
-    joined = counts.join(F.broadcast(moments))  # one row of figures
+    joined = counts.withColumn("_moments", moments.select(F.struct("*")).scalar())
     shrunk = []
     for name in RULES:
-        mean, spread = F.col(f"mean_{name}"), F.coalesce(F.nanvl(F.col(f"spread_{name}"), F.lit(0.0)), F.lit(0.0))
+        mean, spread = F.col(f"_moments.mean_{name}"), F.coalesce(F.nanvl(F.col(f"_moments.spread_{name}"), F.lit(0.0)), F.lit(0.0))
         weight = F.when(spread > 0, F.least(F.lit(1e6), F.greatest(F.lit(1e-3), mean * (1 - mean) / spread - 1))).otherwise(1e6)
         shrunk.append((F.col(name) + mean * weight) / (F.col("host_docs") + weight))
     worst = F.greatest(*shrunk)
