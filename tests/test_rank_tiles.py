@@ -1,5 +1,10 @@
 """What the ranking and the scenarios move, on rows of their own."""
 
+import re
+from types import SimpleNamespace
+
+import pytest
+
 from linkloom.operators import anchors as an
 from linkloom.operators import rank_iteration as ri
 from linkloom.storage import package_on_workers, sql_settings
@@ -30,6 +35,16 @@ def test_links_stay_where_they_are(spark):
         tiles.unpersist()
 
 
+@pytest.mark.parametrize("cores", [1, 2, 4, 8, 12, 16, 24, 100])
+def test_tiles_fit_the_cores(monkeypatch, cores):
+    monkeypatch.setattr(ri, "_keys", lambda spark, partitions: tuple(range(partitions)))
+    spark = SimpleNamespace(sparkContext=SimpleNamespace(defaultParallelism=cores))
+    grid = ri.make_grid(spark, 1_000_000, 100_000_000, 3, ri.RankOptions())
+    assert len(grid.keys) <= max(2, cores)
+    if cores == 12:
+        assert grid.segments + grid.groups == 4
+
+
 def test_ids_far_apart_and_null(spark):
     far = {0: 5, 1: 10**15, 2: -(10**12)}
     pairs = [(0, 1, 1.0), (1, 2, 2.0), (2, 0, 1.0), (0, 2, 3.0)]
@@ -56,3 +71,16 @@ def test_scenarios_move_candidates_once(spark):
     score = {(r.scenario, r.anchor_diversity_score) for r in got}
     want = {(r.scenario, r.anchor_diversity_score) for r in an.source_diversity(an.scenario_select_anchor(candidates)).where("source_id = 1").collect()}
     assert score == want and len(score) == 3
+
+
+def test_scenario_tasks_grow_with_the_candidates(spark, monkeypatch):
+    kinds = "source_id long, target_id long, block_type string, rule_weight float, anchor_type string, anchor_text string"
+    candidates = spark.createDataFrame([(s, s + 1, "content", 1.0, "exact", "x") for s in range(60)], kinds)
+
+    def tasks():
+        return int(re.search(r"hashpartitioning\(source_id#\d+L, (\d+)\)", plan_of(an.scenario_edges(candidates))).group(1))
+
+    assert tasks() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(an, "CANDIDATES_PER_TASK", 7)
+    assert tasks() == 9
+    assert an.scenario_edges(candidates).count() == 3 * 60
