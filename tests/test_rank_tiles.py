@@ -3,10 +3,14 @@
 import re
 from types import SimpleNamespace
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.operators import anchors as an
 from linkloom.operators import rank_iteration as ri
+from linkloom.operators import scoring as sc
 from linkloom.storage import package_on_workers, sql_settings
 
 
@@ -35,6 +39,53 @@ def test_links_stay_where_they_are(spark):
         tiles.unpersist()
 
 
+@pytest.mark.parametrize("steps", [[], [0], [0, 0, 3], [255], [256, 1], [65_535, 0], [65_536, 2], [1] * 9])
+def test_targets_are_kept_as_steps(steps):
+    places = np.cumsum([70_000, *steps]).astype(np.int32)
+    blob = ri._gaps(places).tobytes()
+    assert ri._places(pa.scalar(blob, pa.binary()), len(places)).tolist() == places.tolist()
+    widest = max(steps, default=0)
+    assert len(blob) == 4 + len(steps) * (1 if widest < 256 else 2 if widest < 65_536 else 4)
+
+
+def test_changes_move_by_narrow_rows(spark, monkeypatch):
+    moved = []
+    sums = ri._tile_sums
+
+    def noted(rows, *args, **kinds):
+        moved.append((rows, kinds.get("share", ri.EXACT)))
+        return sums(rows, *args, **kinds)
+
+    monkeypatch.setattr(ri, "_tile_sums", noted)
+    nodes = spark.range(50).withColumnRenamed("id", "page_id")
+    links = spark.createDataFrame([(i % 50, (7 * i * i) % 47, 1.0 + i % 3) for i in range(600)], "source long, target long, w0 double")
+    ri.rank_graphs(nodes, links, ["a"], ri.RankOptions(steps_per_check=4, tolerance=1e-3))
+    of_rounds = moved[1:]  # the first adds up what reaches a page
+    assert [share for _, share in of_rounds[:4]] == [ri.EXACT, ri.CHANGE, ri.CHANGE, ri.CHANGE]
+    assert all(rows.columns == ["key", "tile", "source", "target", "w", "values"] for rows, _ in of_rounds)
+
+
+def test_one_weighting_ranks_links_without_adding_them_up(spark, monkeypatch):
+    handed = []
+
+    def rank(nodes, links, *rest):
+        handed.append(links)
+        raise InterruptedError
+
+    monkeypatch.setattr(sc, "rank_graphs", rank)
+    nodes = spark.createDataFrame([(page,) for page in range(1, 5)], "page_id long")
+    kinds = "source_id long, target_id long, block_type string, rule_weight float, variant string"
+    rows = [(1, 2, "head", 1.0, "site"), (1, 2, "content", 2.0, "site"), (1, 3, "content", 1.0, "site"), (1, 2, "head", 1.0, "site"), (3, 1, "content", None, "site")]
+    with pytest.raises(InterruptedError):
+        sc.score_variants(nodes, spark.createDataFrame(rows, kinds), ["site"], sc.ScoreOptions())
+    (links,) = handed
+    assert "Exchange" not in plan_of(links) and links.count() == 5
+    added = links.groupBy("source", "target").agg(F.sum("w0").alias("w0"))
+    assert added.count() == 3
+    got, want = (sorted(ri.rank_graphs(nodes, each, ["site"]).collect()) for each in (links, added))
+    assert got == want
+
+
 @pytest.mark.parametrize("cores", [1, 2, 4, 8, 12, 16, 24, 100])
 def test_tiles_fit_the_cores(monkeypatch, cores):
     monkeypatch.setattr(ri, "_keys", lambda spark, partitions: tuple(range(partitions)))
