@@ -11,28 +11,32 @@ padding. No row is shuffled, and a task that runs again packs its own rows alike
 
 from __future__ import annotations
 
-import re
-import struct
+import itertools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linkloom.llm.common import small_batches
 
-#: Words and pieces kept by a worker; some 200 bytes each.
-CACHED_WORDS, CACHED_PIECES = 300_000, 200_000
+#: Words and pieces kept by a worker; some 100 and 150 bytes each.
+CACHED_WORDS, CACHED_PIECES = 600_000, 600_000
 _tokenizers: dict[str, object] = {}
-
+#: Texts encoded at a time, in bytes.
+GROUP_BYTES = 1 << 22
 
 #: Words of these characters are the same in NFC, and split into these pieces, in lower case.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+PLAIN = "[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+PIECES = "'(?:s|t|re|ve|m|ll|d)|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+"
+#: Bytes of a word that may be kept.
+LONGEST = 64
 
 
 def byte_letters() -> list[str]:
@@ -42,74 +46,104 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
-#: Words of one piece.
-LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 #: Texts on which the short way is held against the whole tokenizer when a file is loaded.
 PROBES = [
     "a", "The quick Fox's", "it'll WE'VE don't", "x1y22 3,14", "(a) [b] {c}; d: e!?", "naïve Été ÀÖØÞ ß ÿ", "a  b\n\tc \r d", "!!## $$", "¡hola! 日本 e\u0301", "...", "'s 's's",
 ]
 
 
+def _items(values: pa.Array) -> list:
+    return values.to_numpy(zero_copy_only=False).tolist()
+
+
+def _joined(parts: list[bytes], numbers: pa.Int32Array, offsets: pa.Int32Array) -> list[bytes]:
+    """The numbered parts, one after another, from each offset to the next."""
+    if not len(numbers):
+        return [b""] * (len(offsets) - 1)
+    lined_up = pa.array(parts, pa.large_binary()).take(numbers)
+    _, ends, data = lined_up.buffers()
+    ends = np.frombuffer(ends, np.int64)[offsets.to_numpy()].tolist()
+    held = memoryview(data)
+    return [bytes(held[start:end]) for start, end in zip(ends, ends[1:])]
+
+
 class WordTokenizer:
     """Ids of a lower-casing byte-level tokenizer that drops white space, so words can be encoded one by one.
 
     The first ``CACHED_WORDS`` words and ``CACHED_PIECES`` pieces are kept, so a text is mostly look-ups. Words of
-    plain letters, digits and signs go to the vocabulary's merges piece by piece, which saves most of
-    the time; all others, and those that may hold a special token, go through the whole tokenizer. A file
-    whose tokenizer is of another kind is told by a few probes, and then encodes all texts as a whole.
+    plain letters, digits and signs are cut into pieces here, and the new pieces of all texts at hand go to the vocabulary's merges
+    in one call: a piece ends where a token ends a word. All others, and those that may
+    hold a special token, go through the whole tokenizer. A file whose tokenizer is of another kind is told by a few
+    probes, and then encodes all texts as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.merges = self.tokenizer.model
+        self.merges = Tokenizer(self.tokenizer.model)  # nothing but the merges, of pieces between spaces
+        self.merges.pre_tokenizer = CharDelimiterSplit(" ")
         self.known: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-        self.letters = {b: letter for b, letter in enumerate(byte_letters()) if letter != chr(b)}
+        self.pieces: dict[bytes, bytes] = {}
+        self.letters = {b: letter for b, letter in enumerate(byte_letters()) if letter != chr(b) and b != 0x20}
         try:
-            self.by_word = all(self._by_word(text.encode()) == self._whole(text) for text in PROBES)
-        except Exception:  # merges that don't take bare pieces
+            suffix, vocabulary = self.tokenizer.model.end_of_word_suffix, self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.ends[[number for token, number in vocabulary.items() if token.endswith(suffix)]] = True
+            self.by_word = self._by_word([text.encode() for text in PROBES]) == [self._whole(text) for text in PROBES]
+        except Exception:  # merges that don't take bare pieces, or don't tell where one ends
             self.by_word = False
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _merged(self, piece: str) -> bytes:
-        spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return struct.pack(f"<{len(tokens)}I", *[token.id for token in tokens]) if (tokens := self.merges.tokenize(spelled)) else b""
-
-    def _piece(self, piece: str) -> bytes:
-        made = self._merged(piece)
-        if len(self.pieces) < CACHED_PIECES:
-            self.pieces[piece] = made
-        return made
-
-    def _encode(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if len(text) > 64:
-            return self._whole(text)
-        if LETTERS.fullmatch(text):
-            piece = text.lower()
-            made = self.pieces.get(piece) or self._merged(piece)
-        elif "<|" not in text and PLAIN.fullmatch(text):
-            made = b"".join([self.pieces.get(p) or self._piece(p) for p in PIECES.findall(text.lower())])
-        else:
-            return self._whole(text)
-        if len(self.known) < CACHED_WORDS:
-            self.known[word] = made
-        return made
-
-    def _by_word(self, text: bytes) -> bytes:
-        words = text.split()
-        found = list(map(self.known.get, words))
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
+        spelled = b" ".join(pieces).decode("latin-1")
+        if not spelled.isascii():
+            spelled = spelled.translate(self.letters)
+        ids = np.array(self.merges.encode(spelled, add_special_tokens=False).ids, dtype="<u4")
+        ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+        made = ids.tobytes()
+        return [made[start:end] for start, end in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _encode(self, words: pa.LargeBinaryArray) -> list[bytes]:
+        """Ids of words that are not kept yet."""
+        texts = words.view(pa.large_string())  # so that patterns see characters; bytes that are none match nothing
+        plain = pc.and_(pc.match_substring_regex(texts, f"^{PLAIN}$"), pc.less_equal(pc.binary_length(words), LONGEST))
+        plain = pc.and_not(plain, pc.match_substring(words, "<|"))
+        others = words.filter(pc.invert(plain))
+        words, lower = words.filter(plain), pc.utf8_lower(texts.filter(plain))
+        split = pc.ascii_split_whitespace(pc.ascii_rtrim_whitespace(pc.replace_substring_regex(lower, f"({PIECES})", r"\1 ")))
+        pieces = split.values.view(pa.large_binary()).dictionary_encode()
+        distinct = _items(pieces.dictionary)
+        new = [piece for piece in distinct if piece not in self.pieces]
+        fresh = dict(zip(new, self._merged(new), strict=True)) if new else {}
+        made = _joined([self.pieces.get(piece) or fresh[piece] for piece in distinct], pieces.indices, split.offsets)
+        self.pieces.update(itertools.islice(fresh.items(), max(0, CACHED_PIECES - len(self.pieces))))
+        self.known.update(itertools.islice(zip(_items(words), made, strict=True), max(0, CACHED_WORDS - len(self.known))))
+        made, whole = iter(made), (self._whole(word.decode("utf-8", "replace")) for word in _items(others))
+        return [next(made if is_plain else whole) for is_plain in _items(plain)]
+
+    def _by_word(self, texts: list[bytes]) -> list[bytes]:
+        """Distinct words are looked up; Arrow splits the texts, numbers their words and lines up the ids."""
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        words = split.values.view(pa.large_binary()).dictionary_encode()
+        distinct = _items(words.dictionary)
+        found = list(map(self.known.get, distinct))
         if None in found:
-            found = [self._encode(word) if ids is None else ids for word, ids in zip(words, found, strict=True)]
-        return b"".join(found)
+            missing = [k for k, ids in enumerate(found) if ids is None]
+            for k, ids in zip(missing, self._encode(words.dictionary.take(pa.array(missing, pa.int32()))), strict=True):
+                found[k] = ids
+        return _joined(found, words.indices, split.offsets)
 
     def ids(self, text: bytes) -> bytes:
         """Little-endian 32-bit ids of the text."""
-        return self._by_word(text) if self.by_word else self._whole(text.decode("utf-8", "replace"))
+        return self.ids_of([text])[0]
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text; the more texts at a time, the fewer look-ups."""
+        return self._by_word(texts) if self.by_word else [self._whole(text.decode("utf-8", "replace")) for text in texts]
 
 
 def tokenizer_of(path: str) -> WordTokenizer:
@@ -118,6 +152,20 @@ def tokenizer_of(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
+def ids_in_order(tokenizer: WordTokenizer, texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Ids of each text, encoded in groups of ``GROUP_BYTES``; a longer text is a group by itself."""
+    group: list[bytes] = []
+    size = 0
+    for text in texts:
+        if group and size + len(text) > GROUP_BYTES:
+            yield from tokenizer.ids_of(group)
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield from tokenizer.ids_of(group)
+
+
 @dataclass
 class Piece:
     doc: int | None
@@ -282,8 +330,9 @@ def pack(
 
         packer = Packer(emit, capacity, max_segments, limit_loss, max_open)
         for batch in batches:
-            for doc, body, leading in zip(batch["doc"], batch["body"], batch["prompt"], strict=True):
-                ids = tokenizer.ids(body or b"") + end
+            encoded = ids_in_order(tokenizer, (body or b"" for body in batch["body"]))
+            for doc, ids, leading in zip(batch["doc"], encoded, batch["prompt"], strict=True):
+                ids += end
                 packer.add(Piece(None if pd.isna(doc) else int(doc), 0, ids, len(ids) // 4, int(leading)))
                 if waiting >= 1 << 18:
                     waiting = 0

@@ -225,6 +225,43 @@ def test_word_by_word_ids_equal_the_tokenizer(tokenizer):
     assert words.ids(text.encode()) == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
+def test_texts_at_a_time_equal_the_tokenizer_text_by_text(tokenizer):
+    random = np.random.default_rng(7)
+    signs = list("aAzéÉßÿÀÞ×÷'sStre0139.,;<|>$\\1_-/ĀİſКж日é½¡¿") + ["e\u0301", "\xa0", "\x1c", "'ll", " ", "\n\t", "\x0b\x0c", "<|endoftext|>"]
+    texts = ["".join(random.choice(signs, 40)).encode() for _ in range(400)] + [b"", b" \n", b"x" * 65, "é".encode() * 40, b"caf\xe9 \xff\xfea b\xc3"]
+    words = packing.WordTokenizer(tokenizer)
+    want = [words.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids for text in texts]
+    for _ in range(2):  # the second time from what is kept
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in words.ids_of(texts)] == want
+    assert b"".join(packing.ids_in_order(words, iter(texts))) == b"".join(words.ids_of(texts)) and words.ids_of([]) == []
+
+
+def test_new_pieces_of_many_texts_go_to_the_merges_at_once(tokenizer):
+    words, calls = packing.WordTokenizer(tokenizer), []
+    merges = words.merges
+
+    class Counted:
+        def encode(self, *given, **options):
+            calls.append(given)
+            return merges.encode(*given, **options)
+
+    words.merges = Counted()
+    words.ids_of([b"Quobble, zantier! quobble", b"(vurmish) 42 Zantier", b"vurmish"])
+    assert len(calls) == 1
+    words.ids_of([b"vurmish quobble, (vurmish) QUOBBLE"])
+    assert len(calls) == 1
+
+
+def test_groups_of_texts_are_bounded(tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_BYTES", 10)
+    words, sizes = packing.WordTokenizer(tokenizer), []
+    whole = words.ids_of
+    words.ids_of = lambda texts: sizes.append(list(map(len, texts))) or whole(texts)
+    texts = [b"one two", b"abc", b"a", b"far longer than a group", b"x"]
+    assert list(packing.ids_in_order(words, texts)) == whole(texts)
+    assert sizes == [[7, 3], [1], [23], [1]]
+
+
 def test_language_needs_a_letter(spark, docs):
     given = "/root/testdata/sf0.001/documents.parquet"
     model = language_id.fit(spark.read.parquet(given), "text", "lang", F.col("doc_id"))
